@@ -8,7 +8,8 @@ For sets of similarity s the chance to meet nowhere is (1 - s^4 - 4 (1 - s) s^3)
 Pairs that meet are confirmed on the full sets. Texts with equal sets are one class from the start. Within a bucket not
 all pairs are made: its members are first compared with one of them (twice, with another member each time); classes
 already connected need no further comparison, and only pairs of different components are compared after that, in blocks
-of bounded size, so no link between components is lost however large the bucket is.
+of bounded size that hold the texts, so no link between components is lost however large the bucket is, and a group
+whose members are at the edge of the threshold makes no row for each of its pairs.
 
 Cases: a null or empty text has no shingles and is linked with nothing; a text with fewer words than a shingle has its
 whole word sequence as the one shingle; texts are read whole; rows with a null id are left out, as no result could name
@@ -163,30 +164,53 @@ def _against_one(met: DataFrame, sigs: DataFrame, limit: int, seed: int) -> Data
     return best.select(F.col("m.hub").alias("a"), F.col("rep").alias("b"))
 
 
-def _across(met: DataFrame, sigs: DataFrame, limit: int) -> DataFrame:
-    """All pairs of different components that meet in a bucket and are near enough, block by block."""
+def _across(met: DataFrame, sigs: DataFrame, texts: DataFrame, limit: int, percent: int, k: int) -> DataFrame:
+    """Links between different components among the pairs that meet in a bucket and are near enough, block by block.
+
+    A block has its members' texts and confirms on full sets itself, so no pair leaves it but links that connect what
+    was not connected in the block. A pair that meets in several buckets is looked at in the first of them only.
+    """
     sizes = met.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = met.join(sizes, "key").join(sigs.select("rep", "sig"), "rep")
+    rows = met.join(sizes, "key").join(sigs.select("rep", "sig"), "rep").join(texts, "rep")
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("own", own).withColumn("other", other).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "component", "sig")
+    rows = rows.withColumn("own", own).withColumn("other", other).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "component", "sig", "text")
 
     def run(table: pa.Table) -> pa.Table:
         own, rep, comp = (table.column(c).to_numpy() for c in ("own", "rep", "component"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
+        keys = index_keys(sig)
+        bucket = int((keys[0] == np.array(table.column("key")[0].as_py(), np.int64).view(np.uint64)).argmax())
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        text = table.column("text").combine_chunks()
+        sets: dict[int, np.ndarray] = {}
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_sets(*text_buffers(text.slice(i, 1)), k)[0]
+            return sets[i]
+
+        _, group = np.unique(comp, return_inverse=True)  # grows together as links are found
         a, b = [], []
-        for i in left:
-            others = right if lo != hi else right[rep[right] > rep[i]]
-            others = others[comp[others] != comp[i]]
-            found = others[(sig[others] != sig[i]).sum(1) <= limit]
-            a.append(np.minimum(rep[found], rep[i]))
-            b.append(np.maximum(rep[found], rep[i]))
-        cat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": cat(a), "b": cat(b)})
+        for i in left.tolist():
+            others = right[(group[right] != group[i]) & ((rep[right] > rep[i]) if lo == hi else True)]
+            others = others[(sig[others] != sig[i]).sum(1) <= limit]
+            others = others[(keys[others] == keys[i]).argmax(1) == bucket]
+            for j in others.tolist():
+                if group[i] == group[j]:
+                    continue
+                one, two = set_of(i), set_of(j)
+                if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+                    continue
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if 100 * both >= percent * (len(one) + len(two) - both):
+                    a.append(rep[i])
+                    b.append(rep[j])
+                    group[group == group[j]] = group[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
@@ -213,8 +237,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
             now = met.join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
             mixed = now.groupBy("key").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("key")
             now = now.join(mixed, "key")
-        pairs = _against_one(now, sigs, limit, seed) if seed else _across(now, sigs, limit)
-        found, _ = materialize(confirm(pairs, texts, percent, k), "minhash-links")
+        if seed:
+            pairs, _ = materialize(_against_one(now, sigs, limit, seed), "minhash-pairs")
+            found = confirm(pairs, texts, percent, k)
+        else:
+            found = _across(now, sigs, texts, limit, percent, k)
+        found, _ = materialize(found, "minhash-links")
         links = found if links is None else links.unionByName(found)
         components, _ = materialize(connected_components(links), "minhash-components")
     members = sketches.join(classes, ["n_shingles", "set_a", "set_b"], "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
