@@ -1 +1 @@
-
+"""Retrieval ranking and learning to rank on Spark DataFrames."""
