@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # --------------------------------------------------------------------------- shared folder
 
@@ -57,8 +58,13 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of df: for a file scan, the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the size of df: for a file scan, the size of its files. Where it knows none (rows that came
+    from the driver), the bytes of all text are summed."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < 1 << 60:
+        return known
+    texts = [F.octet_length(c) for c, kind in df.dtypes if kind == "string"]
+    return df.agg(F.sum(sum((F.coalesce(t, F.lit(0)).cast("long") for t in texts), F.lit(0)))).first()[0] or 0
 
 
 # --------------------------------------------------------------------------- Arrow text

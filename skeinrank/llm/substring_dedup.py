@@ -116,10 +116,10 @@ def _blocks(parts: Iterator[tuple[int, int, np.ndarray]], buckets: int) -> pa.Re
         b.append(bucket % buckets)
         k.append(kind)
         d.append(entries.tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int8()), pa.array(d, pa.binary())], names=["bucket", "kind", "data"])
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(k, pa.int8()), pa.array(d, pa.binary())], names=["bucket", "kind", "data"])
 
 
-BLOCK = "bucket int, kind byte, data binary"
+BLOCK = "bucket long, kind byte, data binary"
 MARK = "doc_id long, first int, count int, open boolean"
 
 
