@@ -110,21 +110,56 @@ def rate(steps: list[np.ndarray]) -> Column:
     return r
 
 
+def _totals(table: DataFrame, steps: list[np.ndarray], d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Totals of the domains at the rates after the steps, and the Gram matrix of the rows whose rate isn't 0. The steps
+    go to the tasks as numbers: written into expressions, each pass would be compiled anew."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, gram = np.zeros(d), np.zeros((d, d))
+        for batch in batches:
+            n = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            r = np.ones(len(n))
+            for v in steps:
+                r = np.maximum(0.0, r - p @ v)
+            total += (n * r) @ p
+            live = (r > 0) * n
+            gram += (p * live[:, None]).T @ p
+        yield pa.RecordBatch.from_arrays([pa.array([*range(d + d * d)], pa.int32()), pa.array(np.append(total, gram))], names=["i", "x"])
+
+    sums = np.zeros(d + d * d)
+    for row in table.select("n_tokens", "posteriors").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        sums[row.i] = row.x  # d + d * d rows at most
+    return sums[:d], sums[d:].reshape(d, d)
+
+
 def fit_rates(table: DataFrame, targets: np.ndarray, iterations: int = 40, tolerance: float = 1e-6) -> tuple[list[np.ndarray], np.ndarray]:
-    """Steps of rate() for a table of n_tokens and posteriors, and the totals they lead to. targets: tokens of each domain."""
+    """Steps of rate() for a table of n_tokens and posteriors, and the totals they lead to. targets: tokens of each domain.
+
+    A step is first tried in the metric of the rows that can still move both ways, which ends sooner where many rates are
+    0; if the distance doesn't shrink, in that of all rows, where a projected gradient step never enlarges it.
+    """
     d = len(targets)
-    p, n = [F.col("posteriors")[i] for i in range(d)], F.col("n_tokens").cast("double")
-    gram = table.agg(*[F.coalesce(F.sum(n * p[i] * p[j]), F.lit(0.0)) for i in range(d) for j in range(d)]).first()
-    inverse = np.linalg.pinv(np.array(gram, float).reshape(d, d), rcond=1e-10)
-    totals_of = lambda steps: np.array(table.select((rate(steps) * n).alias("w"), "posteriors").agg(*[F.coalesce(F.sum(F.col("w") * p[i]), F.lit(0.0)) for i in range(d)]).first(), float)
     steps: list[np.ndarray] = []
-    totals = totals_of(steps)
-    for _ in range(iterations):
+    totals, gram = _totals(table, steps, d)
+    whole, live = np.linalg.pinv(gram, rcond=1e-10), np.linalg.pinv(gram, rcond=1e-10)
+    distance = lambda t: float((t - targets) @ whole @ (t - targets))
+    passes = 0
+    while passes < iterations:
         away = totals - targets
         if np.abs(away).max() <= tolerance * max(1.0, np.abs(targets).max()):
             break
-        steps.append(inverse @ away)
-        totals = totals_of(steps)
+        tries = [live @ away, whole @ away] if len(steps) else [whole @ away]
+        for step in tries:
+            new, gram = _totals(table, [*steps, step], d)
+            passes += 1
+            if step is tries[-1] or distance(new) < 0.5 * distance(totals):
+                break
+        settled = distance(totals) - distance(new) <= 1e-12 * (1 + distance(totals))
+        steps.append(step)
+        totals, live = new, np.linalg.pinv(gram, rcond=1e-10)
+        if settled:
+            break
     return steps, totals
 
 
