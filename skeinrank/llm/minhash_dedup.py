@@ -153,19 +153,20 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, k: int = SHINGLE)
     return right.join(left, ["a", "_part"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _against_one(met: DataFrame, sigs: DataFrame, limit: int, seed: int) -> DataFrame:
-    """For each class one pair with the nearest of its buckets' chosen members, if it is near enough. met: key, rep, component."""
-    order = F.struct(F.xxhash64(F.lit(seed), "rep").alias("o"), F.col("rep").alias("rep"), F.col("component").alias("component"))
-    hubs = met.groupBy("key").agg(F.min(order).alias("h")).select("key", F.col("h.rep").alias("hub"), F.col("h.component").alias("hub_component"))
-    pairs = met.join(hubs, "key").where("component <> hub_component").select("hub", "rep").distinct()
+def _against_two(met: DataFrame, sigs: DataFrame, limit: int) -> DataFrame:
+    """For each class a pair with the nearest of its buckets' chosen members, if it is near enough, and one with the
+    nearest of the second ones. met: key, rep."""
+    order = [F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("o"), F.col("rep").alias("rep"))).alias(f"h{seed}") for seed in (1, 2)]
+    hubs = met.groupBy("key").agg(*order).select("key", F.posexplode(F.array("h1.rep", "h2.rep")).alias("turn", "hub"))
+    pairs = met.join(hubs, "key").where("rep <> hub").select("turn", "hub", "rep").distinct()
     pairs = pairs.join(sigs.select("rep", "sig"), "rep").join(sigs.select(F.col("rep").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-    near = pairs.select("hub", "rep", _differences(F.col("sig"), F.col("hub_sig")).alias("d")).where(F.col("d") <= limit)
-    best = near.groupBy("rep").agg(F.min(F.struct("d", "hub")).alias("m"))
-    return best.select(F.col("m.hub").alias("a"), F.col("rep").alias("b"))
+    near = pairs.select("turn", "hub", "rep", _differences(F.col("sig"), F.col("hub_sig")).alias("d")).where(F.col("d") <= limit)
+    best = near.groupBy("rep", "turn").agg(F.min(F.struct("d", "hub")).alias("m"))
+    return best.select(F.col("m.hub").alias("a"), F.col("rep").alias("b")).distinct()
 
 
 def _across(met: DataFrame, sigs: DataFrame, texts: DataFrame, limit: int, percent: int, k: int) -> DataFrame:
-    """Links between different components among the pairs that meet in a bucket and are near enough, block by block.
+    """Links (a, b) of different components by the pairs that meet in a bucket and are near enough, block by block.
 
     A block has its members' texts and confirms on full sets itself, so no pair leaves it but links that connect what
     was not connected in the block. A pair that meets in several buckets is looked at in the first of them only.
@@ -205,8 +206,8 @@ def _across(met: DataFrame, sigs: DataFrame, texts: DataFrame, limit: int, perce
                     continue
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 if 100 * both >= percent * (len(one) + len(two) - both):
-                    a.append(rep[i])
-                    b.append(rep[j])
+                    a.append(comp[i])
+                    b.append(comp[j])
                     group[group == group[j]] = group[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -228,23 +229,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     met, _ = materialize(keys.join(several, "key"), "minhash-buckets")
     texts = docs.withColumnRenamed("doc_id", "rep").join(met.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
     texts, _ = materialize(texts, "minhash-texts")
-    links = None
-    components = None
-    for seed in (1, 2, 0):
-        if components is None:
-            now = met.withColumn("component", F.col("rep"))
-        else:
-            now = met.join(components.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            mixed = now.groupBy("key").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("key")
-            now = now.join(mixed, "key")
-        if seed:
-            pairs, _ = materialize(_against_one(now, sigs, limit, seed), "minhash-pairs")
-            found = confirm(pairs, texts, percent, k)
-        else:
-            found = _across(now, sigs, texts, limit, percent, k)
-        found, _ = materialize(found, "minhash-links")
-        links = found if links is None else links.unionByName(found)
-        components, _ = materialize(connected_components(links), "minhash-components")
+    pairs, _ = materialize(_against_two(met, sigs, limit), "minhash-pairs")
+    links, _ = materialize(confirm(pairs, texts, percent, k), "minhash-links")
+    stars, _ = materialize(connected_components(links), "minhash-components")
+    now = met.join(stars.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = now.groupBy("key").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("key")
+    links, _ = materialize(_across(now.join(mixed, "key"), sigs, texts, limit, percent, k), "minhash-links")
+    components, _ = materialize(connected_components(links.unionByName(stars.select(F.col("id").alias("a"), F.col("component").alias("b")))), "minhash-components")
     members = sketches.join(classes, ["n_shingles", "set_a", "set_b"], "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
     return members.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
