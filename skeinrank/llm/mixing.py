@@ -1,14 +1,16 @@
 """Mixing to target weights with soft membership: posteriors of domains, and rates whose expected totals match targets.
 
-A multinomial classifier over hashed words, fitted to a labelled table, gives each document its domain posteriors.
-Projected gradient then fits one nonnegative rate for each document: the least squares distance between the expected
+A softmax regression on the hashed words a text has, fitted to a labelled table, gives each document its domain posteriors:
+of all words those count that are spread over the labelled domains least evenly, so that common and rare words alike don't
+blur the posteriors of clean texts. Projected gradient then fits one nonnegative rate for each document: the least squares distance between the expected
 domain token totals (sum of rate * tokens * posterior) and the targets, in the metric of their Gram matrix. Every step
 moves a document's rate along its posteriors only, from 1, so documents of the same kind get the same rate. An iteration
 is one aggregation that brings a number for each domain to the driver.
 
-Cases: a null or empty text has no words and the domains' prior shares as posteriors, its rate moves no total; texts are
+Cases: a null or empty text has no words and the posteriors of the offsets alone, its rate moves no total; texts are
 read whole; rows with a null id and repeated rows have rates like any; a domain without labelled documents has posterior
-0, and its target cannot be met (the fit ends at the nearest totals); without labels all rates are 1; an empty table gives
+0, and its target cannot be met (the fit ends at the nearest totals); without labels nothing is known, all posteriors are
+equal and all rates are 1; an empty table gives
 an empty result; columns named as this module's results are replaced.
 """
 
@@ -27,6 +29,10 @@ from ._common import LOWER, materialize, slices, text_buffers, word_hashes, word
 from ._labelled import FIT_ROWS, with_labels
 
 BUCKETS = 1 << 16
+#: Most words that a classifier looks at, and the least G statistic (chance below 0.001) of one.
+FEATURES, LEAST_G = 512, 10.8
+#: Variance of a word's weight beforehand. A small one makes the posteriors of short texts softer than their words are.
+VARIANCE = 16.0
 #: The domains of the labels table, and each one's target as a multiple of its present expected total.
 DOMAINS = ("clean", "toxic", "junk")
 TARGETS = {"clean": 1.25, "toxic": 0.25, "junk": 0.25}
@@ -46,53 +52,108 @@ def _words(batch: pa.RecordBatch, at: int):
 
 @dataclass
 class DomainModel:
-    """Log probabilities of hashed words and of the domains."""
-
-    words: np.ndarray
-    priors: np.ndarray
+    """Softmax weights of the words looked at (domains x features), each bucket's feature (-1: none), and the offset of each
+    domain, which is -inf for one without labelled documents."""
+
+    weights: np.ndarray
+    slots: np.ndarray
+    offsets: np.ndarray
+    labelled: int
+
+
+def _present(bucket: np.ndarray, row: np.ndarray, values: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of each distinct pair."""
+    pairs = np.unique(row * values + bucket)
+    return pairs // values, pairs % values
+
+
+def _of_features(batch: pa.RecordBatch, at: int, slots: np.ndarray):
+    """Row range, then the row and the feature of every feature a text has, and the number of words of each text."""
+    for lo, hi, bucket, row, count in _words(batch, at):
+        slot = slots[bucket]
+        yield lo, hi, *_present(slot[slot >= 0], row[slot >= 0], FEATURES), count
+
+
+def uneven(counts: np.ndarray) -> np.ndarray:
+    """The buckets whose documents are spread over the domains least as those of all buckets are, FEATURES at most. counts:
+    documents by domain and bucket."""
+    total, by_domain = counts.sum(0), counts.sum(1)
+    expected = np.outer(by_domain / max(by_domain.sum(), 1), total)
+    g = 2 * (counts * np.log(np.where(counts > 0, counts, 1) / np.where(expected > 0, expected, 1))).sum(0)
+    order = np.argsort(-g, kind="stable")[:FEATURES]
+    return order[g[order] >= LEAST_G]
+
+
+def softmax_regression(x: np.ndarray, label: np.ndarray, domains: int, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (domains x features) and offsets for rows of 0 and 1, with weights of VARIANCE beforehand. Each round is a
+    Newton step under a fixed bound of the curvature, with Nesterov's momentum."""
+    n, f = x.shape
+    seen = np.bincount(label, minlength=domains) > 0
+    x = np.column_stack([x, np.ones(n, np.float32)])
+    goal = np.eye(domains, dtype=np.float32)[label]
+    keep = np.append(np.full(f, 1 / VARIANCE), 1e-3)
+    solve = np.linalg.inv(0.5 * (x.T @ x).astype(float) + np.diag(keep)).astype(np.float32)
+    w = ahead = np.zeros((f + 1, domains), np.float32)
+    for k in range(rounds):
+        z = np.where(seen, x @ ahead, -np.inf)
+        p = np.exp(z - z.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        new = ahead + solve @ (x.T @ (goal - p) - keep[:, None].astype(np.float32) * ahead)
+        w, ahead = new, new + np.float32(k / (k + 3)) * (new - w)
+    return w[:f].T.astype(float), np.where(seen, w[f], -np.inf).astype(float)
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, domains: int, id_col: str = "doc_id", text_col: str = "text", bound: int = FIT_ROWS) -> DomainModel:
-    """From at most bound labelled documents."""
+    """From at most bound labelled documents; FEATURES bits of each come to the driver."""
     marked = with_labels(docs.select(id_col, text_col), labels, domain, id_col, bound).where("_label is not null")
+    marked, _ = materialize(marked.select(F.col(text_col).alias("_text"), F.col("_label").cast("int")), "mixing-labelled")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = np.zeros((domains, BUCKETS), np.int64), np.zeros(domains, np.int64)
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((domains, BUCKETS), np.int64)
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False)
-            rows += np.bincount(label, minlength=domains)
             for lo, hi, bucket, row, _ in _words(batch, 0):
-                counts += np.bincount(label[lo:hi][row] * BUCKETS + bucket, minlength=domains * BUCKETS).reshape(domains, BUCKETS)
+                at, word = _present(bucket, row, BUCKETS)
+                counts += np.bincount(label[lo:hi][at] * BUCKETS + word, minlength=domains * BUCKETS).reshape(domains, BUCKETS)
         d, b = np.nonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(d, np.arange(domains))), pa.array(np.append(b, np.full(domains, -1))), pa.array(np.append(counts[d, b], rows))], names=["domain", "bucket", "n"])
-
-    counts, rows = np.zeros((domains, BUCKETS)), np.zeros(domains)
-    found = marked.select(text_col, F.col("_label").cast("int")).mapInArrow(run, "domain long, bucket long, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n"))
-    for r in found.collect():  # a row for each domain and bucket at most
-        if r.bucket < 0:
-            rows[r.domain] = r.n
-        else:
-            counts[r.domain, r.bucket] = r.n
-    with np.errstate(divide="ignore"):
-        priors = np.log(rows / rows.sum()) if rows.sum() else np.log(np.full(domains, 1 / domains))
-    return DomainModel(np.log((counts + 0.1) / (counts.sum(1, keepdims=True) + 0.1 * BUCKETS)), priors)
-
-
-def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text", keep: list[str] | None = None, softness: float = 0.5) -> DataFrame:
-    """The columns keep (all without it), n_tokens (words) and posteriors (array of double). The log likelihood counts by
-    n ** -softness, as words of a text are not independent: long texts would else belong to one domain without doubt."""
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(b), pa.array(counts[d, b])], names=["domain", "bucket", "n"])
+
+    counts = np.zeros((domains, BUCKETS))
+    for r in marked.mapInArrow(count, "domain long, bucket long, n long").groupBy("domain", "bucket").agg(F.sum("n").alias("n")).collect():
+        counts[r.domain, r.bucket] = r.n  # a row for each domain and bucket at most
+    chosen = uneven(counts)
+    slots = np.full(BUCKETS, -1, np.int64)
+    slots[chosen] = np.arange(len(chosen))
+
+    def bits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            has = np.zeros((batch.num_rows, FEATURES), np.uint8)
+            for lo, _, row, feature, _ in _of_features(batch, 0, slots):
+                has[lo + row, feature] = 1
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([r.tobytes() for r in np.packbits(has, axis=1)], pa.binary())], names=["label", "bits"])
+
+    rows = sorted((r.label, bytes(r.bits)) for r in marked.mapInArrow(bits, "label int, bits binary").collect())  # bound rows at most
+    if not rows:
+        return DomainModel(np.zeros((domains, FEATURES)), slots, np.zeros(domains), 0)
+    has = np.unpackbits(np.frombuffer(b"".join(b for _, b in rows), np.uint8).reshape(len(rows), -1), axis=1).astype(np.float32)
+    weights, offsets = softmax_regression(has, np.array([d for d, _ in rows]), domains)
+    return DomainModel(weights, slots, offsets, len(rows))
+
+
+def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep (all without it), n_tokens (words) and posteriors (array of double)."""
     keep = [c for c in (keep or docs.columns) if c not in ("n_tokens", "posteriors")]
-    n, words, priors = len(keep), model.words, model.priors
-    domains = len(priors)
+    n, weights, slots, offsets = len(keep), model.weights, model.slots, model.offsets
+    domains = len(offsets)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, p = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, domains))
-            for lo, hi, bucket, row, count in _words(batch, n):
+            for lo, hi, row, feature, count in _of_features(batch, n, slots):
                 tokens[lo:hi] = count
                 for d in range(domains):
-                    p[lo:hi, d] = np.bincount(row, words[d][bucket], hi - lo)
-            p = p / np.maximum(tokens, 1)[:, None] ** softness + priors
+                    p[lo:hi, d] = np.bincount(row, weights[d][feature], hi - lo)
+            p += offsets
             p = np.exp(p - p.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, domains), pa.int32()), pa.array(p.ravel()))
@@ -179,7 +240,7 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
     d = len(targets)
     before = np.array(table.agg(*[F.coalesce(F.sum(F.col("posteriors")[i] * F.col("n_tokens")), F.lit(0.0)) for i in range(d)]).first(), float)
     goal = before * np.array(list(targets.values()))
-    steps, after = fit_rates(table, goal)
+    steps, after = fit_rates(table, goal) if model.labelled else ([], before)
     return Mixture(model, steps, before, goal, after), table
 
 

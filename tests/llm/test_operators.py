@@ -166,6 +166,22 @@ def test_mixing(spark):
     kept = {r.doc_id for r in mixing.apply_mixture(table, mixture).collect()}
     assert {i for i in range(300) if i % 3} <= kept
     assert mixing.fit_mixture(table.where("false"), labels)[1].count() == 0
+    none, _ = mixing.fit_mixture(table, labels.where("false"))
+    assert none.steps == [] and sorted(mixing.apply_mixture(table, none).collect()) == sorted(table.collect())
+
+
+def test_softmax_regression():
+    has = np.array([[a, b] for a in (0, 1) for b in (0, 1)] * 25, np.float32)
+    label = np.where(has[:, 0] > 0, 2, 0)
+    weights, offsets = mixing.softmax_regression(has, label, 3)
+    assert offsets[1] == -np.inf and (np.argmax(np.where(np.isfinite(offsets), has @ weights.T + offsets, -np.inf), 1) == label).all()
+    assert np.abs(weights[[0, 2], 1]).max() < 0.05 * np.abs(weights[[0, 2], 0]).max()
+    w = np.column_stack([weights, offsets])[[0, 2]]
+    x = np.column_stack([has, np.ones(len(has))])
+    p = np.exp(x @ w.T)
+    p /= p.sum(1, keepdims=True)
+    slope = (np.eye(3)[label][:, [0, 2]] - p).T @ x - np.array([1 / mixing.VARIANCE, 1 / mixing.VARIANCE, 1e-3]) * w
+    assert np.abs(slope).max() < 0.05
 
 
 def test_quality(spark):

@@ -25,6 +25,10 @@ def test_stages(spark, tmp_path):
             assert minhash_dedup.near_duplicates(out, 80).where("component_id <> doc_id").count() == 0
         if name == "secret scans":
             assert all(not secrets.base_spans(r.text) for r in out.collect())
+        if name == "mixing to target weights":
+            labels = spark.read.parquet(f"{DIR}/labels.parquet")
+            clean = {r.doc_id for r in labels.where("quality = 1 and toxic = 0").join(docs, "doc_id").select("doc_id").collect()}
+            assert len(clean - set(kept[name])) <= 0.02 * len(clean)
         docs = out
     names = [n for n, _ in corpus_pipeline.STAGES]
     for a, b in zip(names, names[1:], strict=False):
