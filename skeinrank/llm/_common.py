@@ -87,7 +87,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-def slices(offs: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(offs: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about limit bytes; a longer text has a range of its own."""
     at, rows = 0, len(offs) - 1
     while at < rows:

@@ -62,7 +62,7 @@ def ngrams(buf: np.ndarray, offs: np.ndarray, buckets: int = BUCKETS) -> tuple[n
     return (mix(np.concatenate(out)) % np.uint64(buckets)).astype(np.int64), np.concatenate(rows)
 
 
-def _parts(batch: pa.RecordBatch, at: int, limit: int = 2 << 20):
+def _parts(batch: pa.RecordBatch, at: int, limit: int = 1 << 20):
     """Row range, buckets and rows of the n-grams of a batch's texts, some MB at a time."""
     raw, offs = text_buffers(batch.column(at))
     for lo, hi in slices(offs, limit):
