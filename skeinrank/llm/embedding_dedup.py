@@ -2,8 +2,9 @@
 
 The graph starts from blocks of vectors with equal signs of random projections. In each iteration the neighbours of a
 vector (both ways) are compared with each other, and every list keeps its best; it ends when hardly a list changes.
-A list is saturated when its last neighbour still passes the threshold; the lists of all vectors that threshold edges
-connect are then enlarged to their whole component, in blocks, so their links are counted exactly. An audit compares a
+A list is saturated when its last neighbour still passes the threshold; saturated vectors are compared across components
+too, by balls and a bound of angles, and components that such a link joins become one. All lists of a component are then
+enlarged to the whole component, in blocks, so its links are counted exactly. An audit compares a
 sample of vectors with all vectors; while its recall is too low, further projections are added and the lists grow.
 
 Equal vectors are one class from the start, so a vector that fills a third of the table is one vertex.
@@ -123,11 +124,86 @@ def _descend(graph: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return around.groupBy("v").applyInArrow(compare, "v long, u long, sim double, fresh boolean")
 
 
-def _within(links: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+def _cover(rows: DataFrame, threshold: float) -> DataFrame:
+    """v, ball, angle, component, vec of rows(v, component, vec): every vector is at or above the threshold to the first
+    vector of its ball, a ball lies in one component and has at most about BLOCK vectors."""
+    sizes = rows.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = rows.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
+
+    def cover(table: pa.Table) -> pa.Table:
+        v = table.column("v").to_numpy()
+        x = unit(table.column("vec").to_pylist())
+        ball, angle, left = np.empty(len(v), np.int64), np.zeros(len(v)), np.arange(len(v))
+        while len(left):
+            sims = x[left] @ x[left[0]]
+            sims[0] = 1.0
+            inside = sims >= threshold
+            ball[left[inside]], angle[left[inside]] = v[left[0]], np.arccos(np.clip(sims[inside], -1, 1))
+            left = left[~inside]
+        return pa.table({"v": v, "ball": ball, "angle": angle, "component": table.column("component"), "vec": table.column("vec")})
+
+    return dealt.groupBy("component", "part").applyInArrow(cover, "v long, ball long, angle double, component long, vec binary")
+
+
+def _joined(comps: DataFrame, graph: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """comps(v, component) with the components joined that links between saturated vectors connect.
+
+    A vector whose list is not saturated has its links in the list; two saturated ones may be linked outside both lists.
+    Saturated vectors are covered by balls. A link between two balls needs their centres' angle within the sum of both
+    radii and the threshold's angle, so of the pairs of balls of different components only those are compared member by
+    member, and of these only the pairs that the centres' own links have not joined already."""
+    full = graph.groupBy("v").agg(F.count("*").alias("listed"), F.min("sim").alias("last")).where((F.col("listed") >= k) & (F.col("last") >= threshold)).select("v")
+    members, _ = materialize(_cover(full.join(comps, "v").join(nodes.select("v", "vec"), "v"), threshold), "embedding-balls")
+    radii = members.groupBy("ball").agg(F.max("angle").alias("radius"))
+    centres = members.where("v = ball").select("ball", "component", "vec").join(radii, "ball")
+    blocks = -(-centres.count() // (2 * BLOCK))
+    if not blocks:
+        return comps
+    widest = float(np.arccos(threshold)) + 1e-6  # and a little for rounding
+
+    dealt = centres.withColumn("dim", F.octet_length("vec")).withColumn("own", F.pmod(F.xxhash64("ball"), F.lit(blocks)).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.select("dim", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "ball", "component", "vec", "radius")
+
+    def meet(table: pa.Table) -> pa.Table:
+        own, ball, component, radius = (table.column(c).to_numpy() for c in ("own", "ball", "component", "radius"))
+        lo, hi = (table.column(c)[0].as_py() for c in ("lo", "hi"))
+        x = unit(table.column("vec").to_pylist())
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        sims = x[left] @ x[right].T
+        near = np.arccos(np.clip(sims, -1, 1)) <= radius[left][:, None] + radius[right][None, :] + widest
+        near &= component[left][:, None] != component[right][None, :]
+        if lo == hi:
+            near &= ball[left][:, None] < ball[right][None, :]
+        i, j = np.nonzero(near)
+        a, b = left[i], right[j]
+        return pa.table({"a": ball[a], "b": ball[b], "component_a": component[a], "component_b": component[b], "sim": sims[i, j]})
+
+    pairs, _ = materialize(dealt.groupBy("dim", "lo", "hi").applyInArrow(meet, "a long, b long, component_a long, component_b long, sim double"), "embedding-meetings")
+    if pairs.isEmpty():
+        return comps
+    known = pairs.where(F.col("sim") >= threshold).select(F.col("component_a").alias("a"), F.col("component_b").alias("b")).distinct()
+    roots = connected_components(known).select("id", F.col("component").alias("root"))
+    root = lambda side: roots.select(F.col("id").alias(f"component_{side}"), F.col("root").alias(f"root_{side}"))
+    apart = pairs.join(root("a"), "component_a", "left").join(root("b"), "component_b", "left")
+    apart = apart.where(F.coalesce("root_a", "component_a") != F.coalesce("root_b", "component_b")).select("a", "b", "component_a", "component_b")
+    one = apart.join(members.select(F.col("ball").alias("a"), "vec"), "a").select("a", "b", "component_a", "component_b", "vec", F.lit(True).alias("first"))
+    two = apart.join(members.select(F.col("ball").alias("b"), "vec"), "b").select("a", "b", "component_a", "component_b", "vec", F.lit(False).alias("first"))
+
+    def linked(table: pa.Table) -> pa.Table:
+        first = table.column("first").to_numpy()
+        x = unit(table.column("vec").to_pylist())
+        hit = (x[first] @ x[~first].T >= threshold).any()
+        return pa.table({"a": table.column("component_a")[: int(hit)], "b": table.column("component_b")[: int(hit)]})
+
+    found = one.unionByName(two).groupBy("a", "b").applyInArrow(linked, "a long, b long")
+    roots = connected_components(known.unionByName(found)).select(F.col("id").alias("component"), F.col("component").alias("root"))
+    return comps.join(roots, "component", "left").select("v", F.coalesce("root", "component").alias("component"))
+
+
+def _within(comps: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     """v, component, n: for each vector the rows of other classes of its component at or above the threshold. Members are compared block by
     block, and only counts leave a block."""
-    comps = connected_components(links.select(F.col("v").alias("a"), F.col("u").alias("b"))).select(F.col("id").alias("v"), "component")
-    comps, _ = materialize(comps, "embedding-components")
     sizes = comps.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     rows = comps.join(sizes, "component").join(nodes, "v")
     own = F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")
@@ -193,8 +269,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
             graph = new
             if changed <= SETTLED * k * count:
                 break
-        links = graph.where(F.col("sim") >= threshold).select("v", "u")
-        counted, _ = materialize(_within(links, nodes, threshold), "embedding-counts")
+        links = graph.where(F.col("sim") >= threshold).select(F.col("v").alias("a"), F.col("u").alias("b"))
+        comps, _ = materialize(connected_components(links).select(F.col("id").alias("v"), "component"), "embedding-components")
+        comps, _ = materialize(_joined(comps, graph, nodes, k, threshold), "embedding-components")
+        counted, _ = materialize(_within(comps, nodes, threshold), "embedding-counts")
         recall = _audit(counted, nodes, threshold)
         if recall >= AUDIT_RECALL:
             break

@@ -268,6 +268,27 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(len(x)) if i not in good)
 
 
+def two_groups(rng, size, angle, spread):
+    """Two groups of distinct vectors around centres that are an angle apart."""
+    centres = np.zeros((2, 32))
+    centres[:, 0], centres[:, 1] = (1, np.cos(angle)), (0, np.sin(angle))
+    return np.concatenate([c + spread * rng.standard_normal((size, 32)) / 32**0.5 for c in centres])
+
+
+@pytest.mark.parametrize("angle, spread", [(np.arccos(0.97), 0.04), (0.36, 0.12)])
+def test_embeddings_links_between_saturated_groups(spark, angle, spread):
+    # In the first case all are linked; in the second only members at the groups' inner edges are.
+    x = two_groups(np.random.default_rng(8), 300, angle, spread).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found, _ = embedding_dedup.near_duplicates(table)
+    got = {r.vec_id: r for r in found.collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hit = u @ u.T >= 0.95
+    assert hit[:300, 300:].any()
+    assert [got[i].n_links for i in range(600)] == (hit.sum(1) - 1).tolist()
+    assert {r.component_id for r in got.values()} == {0}
+
+
 def test_chroma(spark):
     rng = np.random.default_rng(2)
     t = np.arange(3 * chroma.RATE) / chroma.RATE
