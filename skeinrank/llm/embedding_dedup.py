@@ -5,7 +5,9 @@ vector (both ways) are compared with each other, and every list keeps its best;
 A list is saturated when its last neighbour still passes the threshold; saturated vectors are compared across components
 too, by balls and a bound of angles, and components that such a link joins become one. All lists of a component are then
 enlarged to the whole component, in blocks, so its links are counted exactly. An audit compares a
-sample of vectors with all vectors; while its recall is too low, further projections are added and the lists grow.
+sample of vectors with all vectors, and the sample grows until it holds enough vectors that truly have links, or all
+vectors; while its recall is too low, further projections are added and the lists grow. If it stays too low, the query
+fails and says the recall.
 
 Equal vectors are one class from the start, so a vector that fills a third of the table is one vertex.
 
@@ -29,7 +31,9 @@ from .components import connected_components
 THRESHOLD = 0.95
 NEIGHBOURS, TABLES, BLOCK = 10, 6, 512
 ITERATIONS, SETTLED = 6, 0.002
-AUDIT_ROWS, AUDIT_RECALL, ROUNDS = 64, 0.99, 3
+#: The audit's first and largest step, and the classes with links that it looks for.
+AUDIT_ROWS, AUDIT_MOST, AUDIT_LINKED = 1024, 8192, 400
+AUDIT_RECALL, ROUNDS = 0.99, 6
 
 
 def unit(rows: list[bytes]) -> np.ndarray:
@@ -228,32 +232,54 @@ def _within(comps: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
     return rows.groupBy("component", "lo", "hi").applyInArrow(count, "v long, component long, n long").groupBy("v", "component").agg(F.sum("n").alias("n"))
 
 
-def _audit(counted: DataFrame, nodes: DataFrame, threshold: float) -> float:
-    """Share of the links of a sample of AUDIT_ROWS classes, compared with all vectors, that were counted."""
-    sample = nodes.join(counted.select("v", "n"), "v", "left").orderBy(F.xxhash64("v", F.lit(99)), "v").limit(AUDIT_ROWS).select("v", "vec", F.coalesce("n", F.lit(0)).alias("n")).collect()
-    if not sample:
-        return 1.0
+def _audit(counted: DataFrame, nodes: DataFrame, count: int, threshold: float) -> float:
+    """The recall of a sample of classes, compared with all vectors: the share of its links that were counted or, where
+    that is less, the mean share over its linked classes (so a few large groups do not hide missed pairs).
+
+    The sample grows until it holds AUDIT_LINKED classes with a true link, or all classes."""
+    units = 1 << 30
+    placed = nodes.join(counted.select("v", "n"), "v", "left").select("v", "vec", F.coalesce("n", F.lit(0)).alias("n"), F.pmod(F.xxhash64("v", F.lit(99)), F.lit(units)).alias("h"))
+    done, rows = 0, AUDIT_ROWS
+    got = total = linked = 0
+    shares = 0.0
+    while done < units and linked < AUDIT_LINKED:
+        upto = units if rows >= count else min(units, done + -(-rows * units // count))
+        sample = placed.where((F.col("h") >= done) & (F.col("h") < upto)).select("v", "vec", "n").collect()  # about `rows` rows
+        true = _true_links(sample, nodes, threshold)
+        for r in sample:
+            if t := true.get(r.v, 0):
+                found = min(r.n, t)
+                got, total, linked, shares = got + found, total + t, linked + 1, shares + found / t
+        done, rows = upto, min(4 * rows, AUDIT_MOST)
+    return min(got / total, shares / linked) if linked else 1.0
+
+
+def _true_links(sample: list, nodes: DataFrame, threshold: float) -> dict[int, int]:
+    """For each row (v, vec) of the sample the rows of other classes at or above the threshold."""
     by_size: dict[int, list] = {}
     for r in sample:
         by_size.setdefault(len(r.vec), []).append(r)
     held = {size: (unit([bytes(r.vec) for r in rs]), np.array([r.v for r in rs])) for size, rs in by_size.items()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = {size: np.zeros(len(own), np.int64) for size, (_, own) in held.items()}
         for batch in batches:
             ids, n, vecs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
             lengths = np.array([len(x) for x in vecs])
             for size, (x, own) in held.items():
-                if len(at := np.flatnonzero(lengths == size)):
+                every = np.flatnonzero(lengths == size)
+                for at in (every[i : i + 1024] for i in range(0, len(every), 1024)):
                     hit = (x @ unit([vecs[i] for i in at]).T >= threshold) & (own[:, None] != ids[at][None, :])
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(hit @ n[at])], names=["v", "n"])
+                    totals[size] += hit @ n[at]
+        for size, (_, own) in held.items():
+            some = np.flatnonzero(totals[size])
+            yield pa.RecordBatch.from_arrays([pa.array(own[some]), pa.array(totals[size][some])], names=["v", "n"])
 
-    true = {r.v: r.n for r in nodes.select("v", "n_rows", "vec").mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()}
-    total = sum(true.values())
-    return sum(min(r.n, true[r.v]) for r in sample) / total if total else 1.0
+    return {r.v: r.n for r in nodes.select("v", "n_rows", "vec").mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()}
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS) -> tuple[DataFrame, float]:
-    """(vec_id, n_links, component_id) of every row, and the audited recall."""
+    """(vec_id, n_links, component_id) of every row, and the audited recall, which is AUDIT_RECALL at least."""
     packed, _ = materialize(_pack(vectors, id_col, vector_col), "embedding-vectors")
     classes = packed.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("v"), F.count("*").alias("n_rows"))
     nodes, _ = materialize(classes, "embedding-classes")
@@ -273,10 +299,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         comps, _ = materialize(connected_components(links).select(F.col("id").alias("v"), "component"), "embedding-components")
         comps, _ = materialize(_joined(comps, graph, nodes, k, threshold), "embedding-components")
         counted, _ = materialize(_within(comps, nodes, threshold), "embedding-counts")
-        recall = _audit(counted, nodes, threshold)
+        recall = _audit(counted, nodes, count, threshold)
         if recall >= AUDIT_RECALL:
             break
         k *= 2
+    else:
+        raise RuntimeError(f"the audited recall is {recall:.4f} after {ROUNDS} rounds, {AUDIT_RECALL} is asked for")
     members = nodes.select("vec", "v", "n_rows").join(counted, "v", "left")
     out = packed.join(members, "vec", "left")
     return out.select(

@@ -289,6 +289,20 @@ def test_embeddings_links_between_saturated_groups(spark, angle, spread):
     assert {r.component_id for r in got.values()} == {0}
 
 
+def test_embeddings_audit(spark, monkeypatch):
+    # Of 4000 vectors 20 have a near copy; half of these links were not counted.
+    x = np.random.default_rng(9).standard_normal((4000, 16)).astype("<f4")
+    x[4::400] = x[0::400] * 1.01 + 0.001
+    nodes = spark.createDataFrame([(i, bytes(v.tobytes()), 1) for i, v in enumerate(x)], "v long, vec binary, n_rows long")
+    counted = spark.createDataFrame([(i, 0, 1) for k in range(0, 4000, 800) for i in (k, k + 4)], "v long, component long, n long")
+    assert embedding_dedup._audit(counted, nodes, 4000, 0.95) == 0.5
+    # A recall that is not reached is no result.
+    monkeypatch.setattr(embedding_dedup, "ROUNDS", 1)
+    monkeypatch.setattr(embedding_dedup, "_audit", lambda *a: 0.5)
+    with pytest.raises(RuntimeError, match="0.5"):
+        embedding_dedup.near_duplicates(spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1])], "vec_id long, embedding array<float>"))
+
+
 def test_chroma(spark):
     rng = np.random.default_rng(2)
     t = np.arange(3 * chroma.RATE) / chroma.RATE
