@@ -111,6 +111,19 @@ def sparse(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return value.astype(np.int64), place.astype(np.int64)
 
 
+def offsets(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct differences of a place in a and one in b, and how many pairs have each."""
+    if len(a) * len(b) <= 1 << 16:
+        return np.unique(np.subtract.outer(a, b), return_counts=True)
+    low, size = int(a.min()) - int(b.max()), int(np.ptp(a)) + int(np.ptp(b)) + 1
+    x, y = np.zeros(int(np.ptp(a)) + 1), np.zeros(int(np.ptp(b)) + 1)
+    x[a - a.min()] = 1
+    y[b.max() - b] = 1
+    counts = np.rint(np.fft.irfft(np.fft.rfft(x, n := 1 << size.bit_length()) * np.fft.rfft(y, n), n)[:size]).astype(np.int64)
+    at = np.flatnonzero(counts)
+    return at + low, counts[at]
+
+
 PRINT = "n_frames long, n_items long, fp binary, fp_crc32 long"
 
 
@@ -147,49 +160,80 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
 
 
 def search(prints: DataFrame, is_query: Column, most_errors: float = 0.35, least_hits: int = 2) -> DataFrame:
-    """prints (of fingerprints()) with class_id, the smallest id with the same fingerprint, and for each the best match
-    among the queries (rows where is_query holds) of another class: match_class, match_offset, match_hits,
-    match_overlap, match_bit_errors; null without one. An alignment needs least_hits equal indexed integers."""
+    """prints (of fingerprints()) with class_id, the smallest id with the same fingerprint, and matches: for every query
+    (row where is_query holds) of another class that aligns with it, by class, (match_class, match_offset, match_hits,
+    match_overlap, match_bit_errors). An alignment needs least_hits equal indexed integers and most_errors at most; of a
+    pair's alignments the one with most hits is given, of equal ones that with the smaller offset. The columns of these
+    names beside it are the best match; null, and matches empty, without one."""
     classes = prints.where("n_items > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("class_id"), F.max(is_query.cast("int")).alias("asked"))
     classes, _ = materialize(classes, "chroma-classes")
 
     def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, asked = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            value, place, row = [], [], []
+            value, places, row = [], [], []
             for i, fp in enumerate(batch.column(2)):
                 v, p = sparse(np.frombuffer(fp.as_buffer(), "<u4"))
-                value.append(v)
-                place.append(p)
-                row.append(np.full(len(v), i))
+                order = np.argsort(v, kind="stable")
+                distinct, first = np.unique(v[order], return_index=True)
+                value.append(distinct)
+                places += np.split(p[order], first[1:]) if len(v) else []
+                row.append(np.full(len(distinct), i))
             if row:
                 at = np.concatenate(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value)), pa.array(np.concatenate(place)), pa.array(ids[at]), pa.array(asked[at])], names=["item", "place", "class_id", "asked"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value)), pa.array(places, pa.list_(pa.int64())), pa.array(ids[at]), pa.array(asked[at])], names=["item", "places", "class_id", "asked"])
 
-    postings = classes.select(F.col("class_id").cast("long"), "asked", "fp").mapInArrow(index, "item long, place long, class_id long, asked int")
+    postings = classes.select(F.col("class_id").cast("long"), "asked", "fp").mapInArrow(index, "item long, places array<long>, class_id long, asked int")
     postings, _ = materialize(postings, "chroma-postings")
-    asked = postings.where("asked = 1").select("item", F.col("place").alias("q_place"), F.col("class_id").alias("q"))
-    met = postings.select("item", "place", "class_id").join(asked, "item").where("q <> class_id")
-    # The histogram of offsets, and its peak for each pair.
-    histogram = met.groupBy("q", "class_id", (F.col("q_place") - F.col("place")).alias("offset")).agg(F.count("*").alias("hits")).where(F.col("hits") >= least_hits)
-    peak = histogram.groupBy("q", "class_id").agg(F.max(F.struct("hits", (-F.col("offset")).alias("o"))).alias("p")).select("q", "class_id", F.col("p.hits").alias("hits"), (-F.col("p.o")).alias("offset"))
+    asked = postings.where("asked = 1").select("item", F.col("places").alias("q_places"), F.col("class_id").alias("q"))
+    met = postings.select("item", "places", "class_id").join(asked, "item").where("q <> class_id").select("q", "class_id", "q_places", "places")
+
+    # An integer's places in a pair are counted by offset here, so one that is everywhere makes no row for each two places.
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["q", "class_id", "offset", "hits"]
+        for batch in batches:
+            q_offs, offs = (batch.column(k).offsets.to_numpy() for k in (2, 3))
+            q_places, places = (batch.column(k).values.to_numpy() for k in (2, 3))
+            single = (np.diff(q_offs) == 1) & (np.diff(offs) == 1)
+            at = np.flatnonzero(single)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in (0, 1)), pa.array(q_places[q_offs[at]] - places[offs[at]]), pa.array(np.ones(len(at), np.int64))], names=names)
+            q, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i in np.flatnonzero(~single):
+                found, n = offsets(q_places[q_offs[i] : q_offs[i + 1]], places[offs[i] : offs[i + 1]])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), q[i])), pa.array(np.full(len(found), c[i])), pa.array(found), pa.array(n)], names=names)
+
+    counts = met.mapInArrow(count, "q long, class_id long, offset long, hits long")
+    histogram = counts.groupBy("q", "class_id", "offset").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= least_hits)
+    peaks = histogram.groupBy("q", "class_id").agg(F.collect_list(F.struct("offset", "hits")).alias("peaks"))
     whole = classes.select("class_id", "fp")
-    pairs = peak.join(whole.select(F.col("class_id").alias("q"), F.col("fp").alias("q_fp")), "q").join(whole, "class_id")
+    pairs = peaks.join(whole.select(F.col("class_id").alias("q"), F.col("fp").alias("q_fp")), "q").join(whole, "class_id")
 
     def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            q_fp, fp, offset = batch.column(4), batch.column(5), batch.column(3).to_numpy()
-            found = [align(np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4"), int(o)) for a, b, o in zip(q_fp, fp, offset, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64())], names=["q", "class_id", "hits", "offset", "overlap", "errors"])
-
-    judged = pairs.select("q", "class_id", "hits", "offset", "q_fp", "fp").mapInArrow(judge, "q long, class_id long, hits long, offset long, overlap long, errors double")
-    best = judged.where(F.col("errors") <= most_errors).groupBy("class_id").agg(F.max(F.struct("hits", (-F.col("errors")).alias("e"), (-F.col("q")).alias("n"), "offset", "overlap")).alias("m"))
-    best = best.select("class_id", (-F.col("m.n")).alias("match_class"), F.col("m.offset").alias("match_offset"), F.col("m.hits").alias("match_hits"), F.col("m.overlap").alias("match_overlap"), F.round(-F.col("m.e"), 9).alias("match_bit_errors"))
-    return prints.join(classes.select("fp", "class_id"), "fp", "left").join(best, "class_id", "left").withColumn("class_id", F.coalesce("class_id", "id"))
+            rows: list[tuple] = []
+            for q, c, peaks, q_fp, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4), strict=True):
+                a, b = np.frombuffer(q_fp.as_buffer(), "<u4"), np.frombuffer(fp.as_buffer(), "<u4")
+                offset, hits = (peaks.values.field(k).to_numpy() for k in (0, 1))
+                for i in np.lexsort((offset, -hits)):  # the first that passes is the best
+                    overlap, errors = align(a, b, int(offset[i]))
+                    if errors <= most_errors:
+                        rows.append((q, c, int(hits[i]), int(offset[i]), overlap, errors))
+                        break
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:5]), pa.array(columns[5], pa.float64())], names=["q", "class_id", "hits", "offset", "overlap", "errors"])
+
+    judged = pairs.select("q", "class_id", "peaks", "q_fp", "fp").mapInArrow(judge, "q long, class_id long, hits long, offset long, overlap long, errors double")
+    match = F.struct(F.col("q").alias("match_class"), F.col("offset").alias("match_offset"), F.col("hits").alias("match_hits"), F.col("overlap").alias("match_overlap"), F.round("errors", 9).alias("match_bit_errors"))
+    best = F.max_by(match, F.struct("hits", -F.col("errors"), -F.col("q")))
+    matched = judged.groupBy("class_id").agg(best.alias("best"), F.array_sort(F.collect_list(match)).alias("matches"))
+    out = prints.join(classes.select("fp", "class_id"), "fp", "left").join(matched, "class_id", "left")
+    fields = ("match_class", "match_offset", "match_hits", "match_overlap", "match_bit_errors")
+    return out.select(*prints.columns, F.coalesce("class_id", "id").alias("class_id"), *[F.col(f"best.{f}").alias(f) for f in fields], F.coalesce("matches", F.array().cast(out.schema["matches"].dataType)).alias("matches"))
 
 
 def op1_chroma_fingerprints(spark, sf_dir: str) -> DataFrame:
     """No table holds sound, so the UTF-8 bytes of each text serve as 8-bit samples; ids divisible by 100 are the queries."""
     prints, _ = materialize(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), "chroma-prints")
     found = search(prints, F.col("id") % 100 == 0)
-    return found.select(F.col("id").alias("doc_id"), "n_frames", "n_items", "fp_crc32", "class_id", "match_class", "match_offset", "match_hits", "match_overlap", "match_bit_errors")
+    return found.select(F.col("id").alias("doc_id"), "n_frames", "n_items", "fp_crc32", "class_id", "match_class", "match_offset", "match_hits", "match_overlap", "match_bit_errors", "matches")

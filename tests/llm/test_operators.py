@@ -322,3 +322,16 @@ def test_chroma(spark):
     total = lambda areas: sum(image[4 + f : 4 + e, c:d].sum() for f, e, c, d in areas)
     level = int(np.searchsorted(chroma.LEVELS, np.log((total(a) + 0.01) / (total(b) + 0.01)), "right"))
     assert fp[4] >> 30 == chroma.GRAY[level]
+
+
+def prints_of(spark, fingerprints):
+    rows = [(i, len(x) + 7, len(x), bytes(np.asarray(x, "<u4").tobytes()), 0) for i, x in enumerate(fingerprints)]
+    return spark.createDataFrame(rows, "id long, n_frames long, n_items long, fp binary, fp_crc32 long")
+
+
+def test_chroma_gives_every_match(spark):
+    one, two, rest = np.random.default_rng(4).integers(0, 1 << 32, (3, 60), dtype=np.uint32)
+    # Each of the queries 0 and 1 has most of one half of 2 (an overlap is all that lies together).
+    got = chroma.search(prints_of(spark, [one, two, np.concatenate([one, two]), rest]), F.col("id") < 2).collect()
+    matches = {r.id: [(m.match_class, m.match_offset) for m in r.matches] for r in got}
+    assert matches == {0: [], 1: [], 2: [(0, 0), (1, -60)], 3: []}
