@@ -5,8 +5,8 @@ filters compare sums of areas of the frame-by-class image, taken from its integr
 bits, so every place of the image has one 32-bit integer. Two recordings are aligned by the offset at which most of their
 equal integers fall together, and judged by the share of differing bits there.
 
-Search: of every run of SPARSE integers the smallest is indexed, so any equal stretch of that length is met; an integer
-counts once for each recording, where it is first. Recordings with equal fingerprints are one class from the start.
+Search: of every run of SPARSE integers the smallest is indexed, at every place where it is chosen, so any equal stretch
+of that length is met wherever it lies. Every offset with enough equal integers is judged. Recordings with equal fingerprints are one class from the start.
 
 Cases: a null or empty payload and one shorter than the filters' reach have no integers and match nothing but count as
 rows; payloads of any length are read whole; silence has the integers of a flat image; rows with a null id are
@@ -98,17 +98,15 @@ def fingerprint(image: np.ndarray) -> np.ndarray:
 
 
 def sparse(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The indexed integers and their first places: of each run of SPARSE the one with the smallest hash."""
+    """The indexed integers and their places: of each run of SPARSE the one with the smallest hash."""
     if not len(fp):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = mix(fp.astype(np.uint64))
     runs = np.lib.stride_tricks.sliding_window_view(h, min(SPARSE, len(h)))
-    chosen = np.unique(runs.argmin(1) + np.arange(len(runs)))
-    # The first place of each chosen integer, whether or not it was chosen there.
-    value = np.unique(fp[chosen])
-    order = np.argsort(fp, kind="stable")
-    place = order[np.searchsorted(fp[order], value, "left")]
-    return value.astype(np.int64), place.astype(np.int64)
+    smallest = runs.min(1)
+    # All places of a run that have its smallest hash, so that equal stretches choose alike whatever is around them.
+    chosen = np.unique(np.concatenate([np.flatnonzero(h[j : j + len(runs)] == smallest) + j for j in range(runs.shape[1])]))
+    return fp[chosen].astype(np.int64), chosen
 
 
 def offsets(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -335,3 +335,13 @@ def test_chroma_gives_every_match(spark):
     got = chroma.search(prints_of(spark, [one, two, np.concatenate([one, two]), rest]), F.col("id") < 2).collect()
     matches = {r.id: [(m.match_class, m.match_offset) for m in r.matches] for r in got}
     assert matches == {0: [], 1: [], 2: [(0, 0), (1, -60)], 3: []}
+
+
+def test_chroma_finds_a_later_occurrence(spark):
+    rng = np.random.default_rng(6)
+    p, other, r = (rng.integers(0, 1 << 32, n, dtype=np.uint32) for n in (60, 80, 50))
+    # The first P has more hits to it, as R does not follow there; only the second is right over the whole overlap.
+    got = {x.id: x for x in chroma.search(prints_of(spark, [np.concatenate([p, r]), np.concatenate([p, other, p, r])]), F.col("id") == 0).collect()}
+    assert (got[1].match_offset, got[1].match_overlap, got[1].match_bit_errors) == (-140, 110, 0.0)
+    a, b = np.sort(rng.choice(5000, 400, False)), np.sort(rng.choice(5000, 300, False))
+    assert all((x == y).all() for x, y in zip(chroma.offsets(a, b), np.unique(np.subtract.outer(a, b), return_counts=True), strict=True))
