@@ -2,7 +2,7 @@
 
 Grammar inference: the labelled values, written in character classes, make a prefix tree; its states are merged while
 their frequencies of ending and going on agree statistically (Hoeffding bounds, states in the order of their first
-strings). One automaton is learned from credentials and one from ordinary values; a candidate's score is the difference
+strings). The values are learned whole. One automaton is learned from credentials and one from ordinary values; a candidate's score is the difference
 of its log likelihoods.
 
 Cases: a null or empty text has no spans; texts are read whole; repeated rows are scanned alike, rows with a null id too;
@@ -53,14 +53,14 @@ class State:
 
 
 class Automaton:
-    """A probabilistic automaton by state merging. alpha sets how unlikely a wrong refusal to merge is; depth bounds the
-    prefix tree (a string that goes on beyond it stays in its last state)."""
+    """A probabilistic automaton by state merging. alpha sets how unlikely a wrong refusal to merge is. The prefix
+    tree holds the strings whole."""
 
-    def __init__(self, strings: Iterable[str], alpha: float = 0.05, depth: int = 24):
+    def __init__(self, strings: Iterable[str], alpha: float = 0.05):
         self.states = [State()]
         for s in strings:
             at = 0
-            for c in s[:depth]:
+            for c in s:
                 state = self.states[at]
                 state.passes += 1
                 state.counts[c] = state.counts.get(c, 0) + 1
@@ -213,20 +213,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str, model: FormatModel, base: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
-    """The base spans, and the candidates apart from them whose format is likely a credential's."""
+    """The base spans, and what is likely a credential by its format: of every candidate the stretches outside the
+    base spans, all of them if they are likely one when joined, else each by itself. They are judged without the base
+    spans, or a path with a hex id would be one."""
     base = base_spans(text) if base is None else base
     added = []
     for c in CANDIDATE.finditer(text):
-        lo, hi = c.start(), c.end()
-        if any(s < hi and lo < e for s, e, _ in base):
+        inside = [(s, e) for s, e, _ in base if s < c.end() and c.start() < e]
+        outer = _outside(c.start(), c.end(), inside)
+        if len(outer) > 1 and _likely(joined := "".join(text[lo:hi] for lo, hi in outer), 0, len(joined), model):
+            added += [(lo, hi, 3) for lo, hi in outer if text[lo:hi].strip(".=-")]
             continue
-        value = c.group().strip(".=-")
-        if len(value) >= 16 and model.score(value) >= model.threshold:
-            lo += c.group().index(value)
-            added.append((lo, lo + len(value), 3))
+        added += [f for lo, hi in outer if (f := _likely(text, lo, hi, model))]
     return sorted([*base, *added], key=lambda f: (f[0], f[2]))
 
 
+def _outside(lo: int, hi: int, inside: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches of lo..hi that no span covers."""
+    out = []
+    for s, e in sorted(inside):
+        if s > lo:
+            out.append((lo, s))
+        lo = max(lo, e)
+    return [*out, (lo, hi)] if lo < hi else out
+
+
+def _likely(text: str, lo: int, hi: int, model: FormatModel) -> tuple[int, int, int] | None:
+    """The span of the value in lo..hi, without signs at its ends, if it is likely a credential."""
+    value = text[lo:hi].strip(".=-")
+    if len(value) < 16 or model.score(value) < model.threshold:
+        return None
+    lo += text[lo:hi].index(value)
+    return lo, lo + len(value), 3
+
+
 def _written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, e, k in spans)
 
