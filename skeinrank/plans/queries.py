@@ -358,16 +358,25 @@ def early_stop_trace(spark, sf_dir):
     return marked.select("epoch", "loss", F.min("loss").over(w).alias("best"), (since("improved") >= 5).alias("stop_previous"), (since("is_best") >= 3).alias("stop_best"))
 
 
+#: The grid, folds and epochs of the reference's train command.
+PENALTIES, FOLDS, FOLD_EPOCHS, EPOCHS = (1.0, 1.25, 1.5, 1.75, 2.0, 2.25), 5, 100, 1000
+
+
+def _ordered_pairs(spark, sf_dir) -> DataFrame:
+    return pairwise.pairs(_judged(spark, sf_dir)).withColumn("_o", F.md5(F.concat_ws(":", F.lit("shuffle42"), "qid", "i", "j")))
+
+
 def lr_train_eval(spark, sf_dir):
-    rows = pairwise.sample(pairwise.pairs(_judged(spark, sf_dir)), 4000).withColumn("_f", F.pmod(F.xxhash64("i", "j"), F.lit(5))).cache()
-    names = ["SumTermFrequency", "BM25", "PageRank"]
-    model = linear.LogisticModel(1.5).fit(rows.where("_f <> 0"), names, epochs=30)
+    """The penalty by grid search, the fit and the test over all pairs and features."""
+    rows = _ordered_pairs(spark, sf_dir).withColumn("_f", F.pmod(F.xxhash64("i", "j"), F.lit(5))).cache()
+    train = rows.where("_f <> 0")
+    best, _ = linear.grid_search(train, list(FEATURES), "_o", list(PENALTIES), FOLDS, epochs=FOLD_EPOCHS)
+    model = linear.fit_together(train, list(FEATURES), [(best, None)], epochs=EPOCHS)[0]
     return evaluation.confusion(rows.where("_f = 0"), F.col("Y"), model.predicted())
 
 
 def cv_argmax(spark, sf_dir):
-    rows = pairwise.shuffled(pairwise.sample(pairwise.pairs(_judged(spark, sf_dir)), 1000))
-    best, means = linear.grid_search(rows, ["SumTermFrequency", "BM25", "PageRank"], "position", [1.0, 1.5], folds=2, epochs=3)
+    best, means = linear.grid_search(_ordered_pairs(spark, sf_dir), list(FEATURES), "_o", list(PENALTIES), FOLDS, epochs=FOLD_EPOCHS)
     return spark.createDataFrame([(p, a, p == best) for p, a in means], "penalty double, accuracy double, best boolean")
 
 
@@ -391,7 +400,7 @@ def ce_smoothed(spark, sf_dir):
 
 def neural_eval(spark, sf_dir):
     df = _scaled(spark, sf_dir).withColumn("y", linear.halved_label(F.col("Y"))).withColumn("_f", F.pmod(F.xxhash64("rid"), F.lit(5)))
-    model = scaling.fit_network(df.where("_f = 1"), NUMERIC, "y", hidden=(8,), iterations=5)
+    model = scaling.fit_network(df.where("_f <> 0"), NUMERIC, "y")
     return evaluation.confusion_table(scaling.with_network(df.where("_f = 0"), model, NUMERIC), F.col("y"), F.col("prediction").cast("int"), [0, 1])
 
 
