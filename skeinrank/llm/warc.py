@@ -36,8 +36,6 @@ ARCHIVE_BYTES = 64 << 20
 STEP = 1 << 20
 GZIP = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
-#: No header of a record may be longer.
-HEADER_BYTES = 1 << 16
 
 
 def _digest(data: bytes) -> str:
@@ -129,14 +127,16 @@ def _checked(headers: dict[str, str], block: bytes, tail: bytes) -> None:
 
 def _plain(get: Callable[[int, int], bytes], at: int, offset: int) -> Record:
     """The record whose version line is at `at`."""
-    head, n = b"", 2048
-    while b"\r\n\r\n" not in head:
-        if n > 2 * HEADER_BYTES or 0 < len(head) < n // 2:
-            raise Invalid("header end")
+    n = 2048
+    while True:  # a header may have any length, as a url has
         head = get(at, n)
-        n *= 2
         if not head.startswith(VERSION):
             raise Invalid("version line")
+        if b"\r\n\r\n" in head:
+            break
+        if len(head) < n:
+            raise Invalid("header end")
+        n *= 2
     size = head.index(b"\r\n\r\n")
     headers = _headers(head[:size])
     length = int(headers["content-length"])
@@ -318,9 +318,19 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return joined.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("_last"), F.col("_last")).alias("refers_to"))
 
 
+def all_back(written: DataFrame, read: DataFrame) -> DataFrame:
+    """read, written to the shared folder; fails if it has fewer rows than `written` has records."""
+    read, _ = materialize(read, "warc-records")
+    want, got = written.agg(F.sum("records")).first()[0] or 0, read.count()
+    if got < want:
+        raise RuntimeError(f"{want} records were written, {got} came back")
+    return read
+
+
 def op6_warc_salvage(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     written, _ = materialize(write_archives(with_revisits(pages), shared_path(spark, "warc"), 32 << 20), "warc-archives")
     read = read_archives(written.repartition(max(1, written.count())), with_payload=False).where(F.col("record_type").isin("response", "revisit"))
+    read = all_back(written, read)
     number = lambda c: F.expr(f"try_cast(nullif(substring_index({c}, ':', -1), '') as bigint)")
     return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to_id").alias("refers_to"), "target_uri")

@@ -248,6 +248,15 @@ def test_salvage(pack):
     assert gaps[0].offset == start and gaps[0].length == len(parts[7]) and gaps[1].length == 4
 
 
+def test_warc_long_url(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "data:" + "x" * 300_000, "a"), (2, "u", "b")], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r.target_uri for r in warc.op6_warc_salvage(spark, str(tmp_path)).collect()}
+    assert got == {1: "data:" + "x" * 300_000, 2: "u"}
+    with pytest.raises(RuntimeError, match="3 records were written, 2 came back"):
+        warc.all_back(spark.createDataFrame([("p", 3)], "path string, records long"), pages)
+
+
 def test_urls(spark):
     rows = [(1, "http://www.example.com/en/71?x"), (2, "https://A.COM/en/9"), (3, None), (4, "no scheme"), (5, "ftp://x.example.net/de/8#y"), (6, "http://net/de/"), (7, "http://notcom/en/"), (8, "x://org?u://com/en/")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, verdict string")
