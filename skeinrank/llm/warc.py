@@ -145,47 +145,62 @@ def _plain(get: Callable[[int, int], bytes], at: int, offset: int) -> Record:
     return Record(offset, size + 4 + length + 4, headers, body[:length])
 
 
-def _member(source: Source, at: int) -> tuple[bytes, int]:
-    """The content of the gzip member at `at`, and where it ends."""
+def _member(source: Source, at: int) -> tuple[bytes, int, str]:
+    """The content of the gzip member at `at`, where its reading ended, and what is wrong with it: what comes before a
+    damage is kept."""
     unpack, out, pos = zlib.decompressobj(31), [], at
     while not unpack.eof:
         chunk = source.get(pos, min(1 << 16, source.size - pos))
         if not chunk:
-            raise Invalid("member cut short")
+            return b"".join(out), pos, "member cut short"
+        before = unpack.copy()
         try:
             out.append(unpack.decompress(chunk))
         except zlib.error:
-            raise Invalid("gzip data") from None
+            try:  # byte by byte up to the damage
+                for i in range(len(chunk)):
+                    out.append(before.decompress(chunk[i : i + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), pos + i, "gzip data"
         pos += len(chunk)
-    return b"".join(out), pos - len(unpack.unused_data)
+    return b"".join(out), pos - len(unpack.unused_data), ""
 
 
-def _at(source: Source, at: int) -> tuple[list[Record], int]:
-    """The records that start at `at` (a member may hold several) and where they end."""
+def _at(source: Source, at: int) -> tuple[list[Record], int | None, str]:
+    """The records that start at `at` (a member may hold several), where they end (None where a damaged member's end is
+    not known), and what is wrong with the member beside them."""
     head = source.get(at, 7)
     if head.startswith(GZIP):
-        data, end = _member(source, at)
+        data, end, damage = _member(source, at)
+        known = not damage
         found, pos = [], 0
-        while pos < len(data):
-            r = _plain(lambda o, n: data[o : o + n], pos, at)
+        while 0 <= pos < len(data):
+            try:
+                r = _plain(lambda o, n: data[o : o + n], pos, at)
+            except Invalid as why:
+                damage = damage or str(why)
+                pos = data.find(VERSION, pos + 1)
+                continue
             pos += r.length
             r.length = end - at
             found.append(r)
         if not found:
-            raise Invalid("empty member")
-        return found, end
+            raise Invalid(damage or "empty member")
+        return found, end if known else None, damage
     if head == VERSION:
         r = _plain(source.get, at, at)
-        return [r], at + r.length
+        return [r], at + r.length, ""
     raise Invalid("no member or version line")
 
 
 def salvage(source: Source) -> Iterator[Record | Gap]:
-    """All valid records in order, and gaps that cover every other byte."""
+    """All valid records in order, and gaps that cover every other byte. A damaged gzip member is a gap too, after the
+    records that were kept from it."""
     pos, gap, reason = 0, None, ""
     while pos < source.size:
         try:
-            found, end = _at(source, pos)
+            found, end, damage = _at(source, pos)
         except Invalid as why:
             if gap is None:
                 gap, reason = pos, str(why)
@@ -195,6 +210,12 @@ def salvage(source: Source) -> Iterator[Record | Gap]:
             yield Gap(gap, pos - gap, reason)
             gap = None
         yield from found
+        if end is None:
+            gap, reason = pos, damage
+            pos = _next_start(source, pos + 1)
+            continue
+        if damage:
+            yield Gap(pos, end - pos, damage)
         pos = end
     if gap is not None:
         yield Gap(gap, source.size - gap, reason)

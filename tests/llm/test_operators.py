@@ -257,6 +257,20 @@ def test_warc_long_url(spark, tmp_path):
         warc.all_back(spark.createDataFrame([("p", 3)], "path string, records long"), pages)
 
 
+def test_salvage_inside_a_member():
+    parts = [warc.page_record(i, "u", random.Random(i).randbytes(3000), None) for i in range(9)]
+    read = lambda data: list(warc.salvage(warc.Source(lambda at, n: data[at : at + n], len(data))))
+    names = lambda found: [r.headers["warc-record-id"] for r in found if isinstance(r, warc.Record)]
+    bad = bytearray(b"".join(parts))
+    bad[sum(map(len, parts[:4])) + len(parts[4]) - 50] ^= 1
+    whole = warc.gzip_member(bytes(bad))
+    found = read(whole + warc.gzip_member(parts[0]))
+    assert names(found) == [f"<urn:page:{i}>" for i in (0, 1, 2, 3, 5, 6, 7, 8, 0)]
+    assert [(g.offset, g.length, g.reason) for g in found if isinstance(g, warc.Gap)] == [(0, len(whole), "block digest")]
+    cut = read(warc.gzip_member(b"".join(parts))[:20_000])
+    assert names(cut)[:5] == [f"<urn:page:{i}>" for i in range(5)] and isinstance(cut[-1], warc.Gap) and cut[-1].length == 20_000
+
+
 def test_urls(spark):
     rows = [(1, "http://www.example.com/en/71?x"), (2, "https://A.COM/en/9"), (3, None), (4, "no scheme"), (5, "ftp://x.example.net/de/8#y"), (6, "http://net/de/"), (7, "http://notcom/en/"), (8, "x://org?u://com/en/")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, verdict string")
