@@ -15,12 +15,15 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), the context's own or a new one."""
+    """The folder in spark.checkpoint.dir; where that is unset, the context's own, or a new one on a single machine (tests).
+    A cluster without either is an error, as its executors share no temporary folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = current.get() if current.isDefined() else None
     if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="skeinrank-"))
         base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return base.rstrip("/")
@@ -45,7 +48,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(where, True)
 
 
-
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, survives the loss of executors.
 
@@ -67,6 +69,39 @@ def input_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(sum((F.coalesce(t, F.lit(0)).cast("long") for t in texts), F.lit(0)))).first()[0] or 0
 
 
+# --------------------------------------------------------------------------- names and hot keys
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, whatever the case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key with more rows than PART_ROWS, and than a share of 1 / HOT_KEYS of all, is hot: so at most HOT_KEYS keys are.
+PART_ROWS, HOT_KEYS = 256, 10_000
+
+
+def deal(rows: DataFrame, once: DataFrame, keys: list[str], by: str, n: str = "n") -> tuple[DataFrame, DataFrame]:
+    """Both tables with a column _part, so that a join on keys and _part is that on keys, and no part of a hot key has much
+    more rows than that share. once has each key once, and in n how many rows have it; rows are dealt by the column `by`,
+    once is copied to each part. The list of hot keys has at most HOT_KEYS rows, so it is broadcast."""
+    share = once.agg(F.greatest(F.lit(PART_ROWS), F.ceil(F.sum(n) / HOT_KEYS)).alias("_share"))
+    hot = once.select(*keys, F.col(n).alias("_n")).crossJoin(F.broadcast(share)).where("_n > _share").select(*keys, F.ceil(F.col("_n") / F.col("_share")).cast("int").alias("_parts"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
+    copies = once.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return dealt, copies
+
+
+def join_dealt(rows: DataFrame, once: DataFrame, keys: list[str], by: str, n: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with once on keys, hot keys in parts (see deal()). once keeps its n."""
+    dealt, copies = deal(rows, once, keys, by, n)
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
 # --------------------------------------------------------------------------- Arrow text
 
 

@@ -1,6 +1,6 @@
 """Connected components of links, by alternating large-star and small-star steps, each a few joins and aggregations.
 
-Nothing is gathered in one task or on the driver but whether the links have become stars. Each step's links are written to
+Nothing is gathered in one task or on the driver but whether the links have become stars; centres of many links are dealt out. Each step's links are written to
 the shared folder, which cuts the lineage.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_path, materialize
+from ._common import drop_path, join_dealt, materialize
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -18,8 +18,8 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     both = links.select(F.col("a").alias("v"), F.col("b").alias("w"))
     if large:
         both = both.unionByName(links.select(F.col("b").alias("v"), F.col("a").alias("w")))
-    least = both.groupBy("v").agg(F.min("w").alias("m")).select("v", F.least("v", "m").alias("m"))
-    joined = both.join(least, "v")
+    least = both.groupBy("v").agg(F.min("w").alias("m"), F.count("*").alias("n")).select("v", F.least("v", "m").alias("m"), "n")
+    joined = join_dealt(both, least, ["v"], "w")  # a star's centre may have a third of all links
     if large:
         out = joined.where("w > v").select(F.col("w").alias("a"), F.col("m").alias("b"))
     else:

@@ -1,25 +1,30 @@
 """MinHash near-dedup by a multi-index Hamming join.
 
 A text's set of word shingles becomes a signature of 32 values of b = 16 bits. Signatures are split into 8 chunks of 4
-values. By the pigeonhole principle two signatures that differ in at most 15 values have a chunk with at most one
-difference; all chunks are indexed under each allowed error (one value left out), so every such pair meets in a bucket.
-For sets of similarity s the chance to meet nowhere is (1 - s^4 - 4 (1 - s) s^3)^8: 2e-8 at 0.85, 1e-6 at 0.8.
+values, and each chunk is indexed under every choice of its allowed errors (that many values left out). By the pigeonhole
+principle two signatures whose distance is below the sum of all chunks' allowed errors plus one each have a chunk within
+its own, so all pairs up to the distance limit meet in a bucket: at 17 (for 85 %) two chunks allow two errors and six
+one, at 20 (for 80 %) five and three. The limit is the least distance that a pair at the similarity exceeds with a chance
+below 1e-7.
 
 Pairs that meet are confirmed on the full sets. Texts with equal sets are one class from the start. Within a bucket not
 all pairs are made: its members are first compared with one of them (twice, with another member each time); classes
 already connected need no further comparison, and only pairs of different components are compared after that, in blocks
-of bounded size that hold the texts, so no link between components is lost however large the bucket is, and a group
-whose members are at the edge of the threshold makes no row for each of its pairs.
+bounded by rows and bytes: first by signatures alone, then those that are near another component with their texts. The
+largest component of a bucket is compared with the others only, so its size costs no square. No link between components
+is lost however large the bucket is, and a group whose members are at the edge of the threshold makes no row for each of
+its pairs. Buckets, classes, hubs and stars that many rows share are dealt out in parts.
 
 Cases: a null or empty text has no shingles and is linked with nothing; a text with fewer words than a shingle has its
-whole word sequence as the one shingle; texts are read whole; rows with a null id are left out, as no result could name
-them; rows that repeat an id and text get the same result each; an empty table gives an empty result; other columns
-are not read.
+whole word sequence as the one shingle; texts are read whole; a row with a null id is linked with nothing and has a null
+component; rows that repeat an id are one document that has all of their sets, so each is linked as its own text is; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 from math import comb
 
 import numpy as np
@@ -27,21 +32,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, constants, materialize, mix, run_hashes, slices, text_buffers, word_hashes, word_spans
+from ._common import LOWER, constants, deal, fresh, join_dealt, materialize, mix, run_hashes, slices, text_buffers, word_hashes, word_spans
 from .components import connected_components
 
 SHINGLE, VALUES, CHUNKS = 5, 32, 8
 SIZE = VALUES // CHUNKS
-#: Members of a bucket that are compared at once; a larger bucket is compared block by block.
-BLOCK = 1024
+#: Members of a bucket, and bytes of their texts, that are compared at once; a larger bucket is compared block by block.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
 
 
 def distance_limit(similarity: float, miss: float = 1e-7) -> int:
-    """The least signature distance that a pair of the similarity exceeds with a chance below miss; never below what the
-    index guarantees."""
+    """The least signature distance that a pair of the similarity exceeds with a chance below miss."""
     p = 1 - similarity
     tail = lambda d: sum(comb(VALUES, i) * p**i * (1 - p) ** (VALUES - i) for i in range(d + 1, VALUES + 1))
-    return max(2 * CHUNKS - 1, next(d for d in range(VALUES + 1) if tail(d) < miss))
+    return next(d for d in range(VALUES + 1) if tail(d) < miss)
+
+
+def index_choices(limit: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Chunk and left-out values of each index key, such that signatures at most limit apart share a key: the chunks'
+    allowed errors and one for each chunk sum up to more than the limit."""
+    spare = max(0, limit + 1 - CHUNKS)
+    allowed = [spare // CHUNKS + (c < spare % CHUNKS) for c in range(CHUNKS)]
+    if max(allowed) >= SIZE:
+        raise ValueError(f"at a distance of {limit} a chunk would be left without a value")
+    return [(c, tuple(c * SIZE + i for i in gone)) for c, errors in enumerate(allowed) for gone in combinations(range(SIZE), errors)]
 
 
 def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
@@ -74,23 +88,24 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def index_keys(sig: np.ndarray) -> np.ndarray:
-    """For each signature the keys of all chunks under each allowed error, CHUNKS * SIZE of them."""
-    out = np.empty((len(sig), VALUES), np.uint64)
-    by = constants(SIZE, 41)
-    for c in range(CHUNKS):
-        chunk = sig[:, c * SIZE : (c + 1) * SIZE].astype(np.uint64) + np.uint64(1)
-        whole = chunk * by
-        for j in range(SIZE):
-            out[:, c * SIZE + j] = mix(whole.sum(1) - whole[:, j] + np.uint64((c * SIZE + j + 1) * 0x1000193 << 20))
+def index_keys(sig: np.ndarray, limit: int) -> np.ndarray:
+    """For each signature the keys of index_choices(limit)."""
+    whole = (sig.astype(np.uint64) + np.uint64(1)) * constants(VALUES, 41)
+    chunks = whole.reshape(len(sig), CHUNKS, SIZE).sum(2)
+    choices = index_choices(limit)
+    salt = constants(len(choices), 43)
+    out = np.empty((len(sig), len(choices)), np.uint64)
+    for k, (chunk, gone) in enumerate(choices):
+        out[:, k] = mix(chunks[:, chunk] - whole[:, list(gone)].sum(1) + salt[k])
     return out
 
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, sig binary"
+SKETCH = "doc_id long, text_hash long, n_bytes long, n_shingles long, set_a long, set_b long, sig binary"
 
 
 def sketch(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, two hashes of the whole set, and the signature (null for an empty set) of docs(doc_id, text)."""
+    """doc_id, hash and bytes of the text, n_shingles, two hashes of the whole set, and the signature (null for an empty
+    set) of docs(doc_id, text, text_hash)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,23 +118,27 @@ def sketch(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                     for i, row in zip(full, signatures([sets[i] for i in full]), strict=True):
                         sig[i] = row.tobytes()
                         a[i], b[i] = mix(sets[i] + np.uint64(5)).sum().view(np.int64), mix(sets[i] ^ np.uint64(0x5DEECE66D)).sum().view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(a), pa.array(b), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "sig"])
+                numbers = (np.diff(offs[lo : hi + 1]), np.array([len(s) for s in sets], np.int64), a, b)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), *map(pa.array, numbers), pa.array(sig, pa.binary())], names=["doc_id", "text_hash", "n_bytes", "n_shingles", "set_a", "set_b", "sig"])
 
     return docs.mapInArrow(run, SKETCH)
 
 
-def _with_keys(classes: DataFrame) -> DataFrame:
-    """key, rep: every index key of every class."""
+def _sigs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, VALUES)
+
+
+def _with_keys(classes: DataFrame, limit: int) -> DataFrame:
+    """key, cls: every index key of every class."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, VALUES)
-            keys = index_keys(sig).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), VALUES))], names=["key", "rep"])
+            keys = index_keys(_sigs(batch.column(1)), limit).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), keys.shape[1]))], names=["key", "cls"])
 
-    return classes.select("rep", "sig").mapInArrow(run, "key long, rep long")
+    return classes.select("cls", "sig").mapInArrow(run, "key long, cls long")
 
 
 def _differences(a, b):
@@ -128,63 +147,103 @@ def _differences(a, b):
     return F.size(F.filter(at, lambda i: F.substring(a, i * 2 + 1, F.lit(2)) != F.substring(b, i * 2 + 1, F.lit(2))))
 
 
+def _linked(one: np.ndarray, two: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, and anything in common."""
+    if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
+        return False
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both > 0 and 100 * both >= percent * (len(one) + len(two) - both)
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets. texts: rep, text. A class that is
-    in many pairs is dealt out in parts."""
+    """The pairs (a, b) with 100 * intersection >= percent * union of their full sets. texts: cls, text. The pairs of one a
+    follow its text in a stream, so a text is not copied to each pair; an a of many pairs is dealt out in parts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        known = np.zeros(0, np.uint64)
         for batch in batches:
-            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            ta, tb = batch.column(2), batch.column(3)
-            good = np.zeros(len(a), bool)
+            a, b, texts = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            good = []
             for i in range(len(a)):
-                if a[i] not in known:
-                    known = {a[i]: shingle_sets(*text_buffers(ta.slice(i, 1)), k)[0]}
-                one, two = known[a[i]], shingle_sets(*text_buffers(tb.slice(i, 1)), k)[0]
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                good[i] = both > 0 and 100 * both >= percent * (len(one) + len(two) - both)
-            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
+                own = shingle_sets(*text_buffers(texts.slice(i, 1)), k)[0]
+                if not b[i].is_valid:
+                    known = own
+                elif _linked(known, own, percent):
+                    good.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good, pa.int64())), b.take(pa.array(good, pa.int64()))], names=["a", "b"])
 
-    pairs = pairs.withColumn("_part", F.pmod(F.xxhash64("b"), F.lit(64)))
-    parts = pairs.select("a", "_part").distinct()
-    right = pairs.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-    left = parts.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
-    return right.join(left, ["a", "_part"]).select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    firsts = pairs.groupBy("a").agg(F.count("*").alias("n"))
+    dealt, copies = deal(pairs, firsts, ["a"], "b")
+    heads = copies.join(texts.withColumnRenamed("cls", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "text", "_part")
+    tails = dealt.join(texts.withColumnRenamed("cls", "b"), "b").select("a", "b", "text", "_part")
+    stream = heads.unionByName(tails).repartition("a", "_part").sortWithinPartitions("a", "_part", F.col("b").asc_nulls_first())
+    return stream.select("a", "b", "text").mapInArrow(run, "a long, b long")
 
 
 def _against_two(met: DataFrame, sigs: DataFrame, limit: int) -> DataFrame:
     """For each class a pair with the nearest of its buckets' chosen members, if it is near enough, and one with the
-    nearest of the second ones. met: key, rep."""
-    order = [F.min(F.struct(F.xxhash64(F.lit(seed), "rep").alias("o"), F.col("rep").alias("rep"))).alias(f"h{seed}") for seed in (1, 2)]
-    hubs = met.groupBy("key").agg(*order).select("key", F.posexplode(F.array("h1.rep", "h2.rep")).alias("turn", "hub"))
-    pairs = met.join(hubs, "key").where("rep <> hub").select("turn", "hub", "rep").distinct()
-    pairs = pairs.join(sigs.select("rep", "sig"), "rep").join(sigs.select(F.col("rep").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
-    near = pairs.select("turn", "hub", "rep", _differences(F.col("sig"), F.col("hub_sig")).alias("d")).where(F.col("d") <= limit)
-    best = near.groupBy("rep", "turn").agg(F.min(F.struct("d", "hub")).alias("m"))
-    return best.select(F.col("m.hub").alias("a"), F.col("rep").alias("b")).distinct()
-
-
-def _across(met: DataFrame, sigs: DataFrame, texts: DataFrame, limit: int, percent: int, k: int) -> DataFrame:
+    nearest of the second ones. met: key, cls."""
+    order = [F.min(F.struct(F.xxhash64(F.lit(seed), "cls").alias("o"), F.col("cls").alias("cls"))).alias(f"h{seed}") for seed in (1, 2)]
+    hubs = met.groupBy("key").agg(*order, F.count("*").alias("n")).select("key", F.col("h1.cls").alias("h1"), F.col("h2.cls").alias("h2"), "n")
+    pairs = join_dealt(met, hubs, ["key"], "cls").select("cls", F.posexplode(F.array("h1", "h2")).alias("turn", "hub")).where("cls <> hub").distinct()
+    pairs, path = materialize(pairs, "minhash-hubs")
+    hub_sigs = pairs.groupBy("hub").agg(F.count("*").alias("n")).join(sigs.select(F.col("cls").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
+    both = join_dealt(pairs.join(sigs.select("cls", "sig"), "cls"), hub_sigs, ["hub"], "cls")
+    near = both.select("turn", "hub", "cls", _differences(F.col("sig"), F.col("hub_sig")).alias("d")).where(F.col("d") <= limit)
+    best = near.groupBy("cls", "turn").agg(F.min(F.struct("d", "hub")).alias("m"))
+    return best.select(F.col("m.hub").alias("a"), F.col("cls").alias("b")).distinct()
+
+
+def _blocks(met: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
+    """key, lo, hi, own, cls, component, sig: the members of buckets that hold several components, for each pair of blocks
+    that they are compared in. The largest component's blocks meet those of the others only."""
+    now = met.join(comps, "cls", "left").withColumn("component", F.coalesce("component", "cls")).join(sigs.select("cls", "n_bytes"), "cls")
+    counts = now.groupBy("key", "component").agg(F.count("*").alias("rows"), F.sum("n_bytes").alias("bytes"))
+    sizes = counts.groupBy("key").agg(F.max(F.struct("rows", "bytes", "component")).alias("big"), F.sum("rows").alias("n"), F.sum("bytes").alias("bytes")).where("n > big.rows")
+    parts = lambda rows, size: F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
+    sizes = sizes.select("key", "n", F.col("big.component").alias("big"), parts(F.col("big.rows"), F.col("big.bytes")).alias("in_big"), parts(F.col("n") - F.col("big.rows"), F.col("bytes") - F.col("big.bytes")).alias("in_rest"))
+    rows = join_dealt(now, sizes, ["key"], "cls")
+    is_big, h = F.col("component") == F.col("big"), F.xxhash64("cls")
+    rows = rows.withColumn("own", F.when(is_big, F.pmod(h, F.col("in_big"))).otherwise(F.col("in_big") + F.pmod(h, F.col("in_rest"))).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.when(is_big, F.col("in_big")).otherwise(F.lit(0)), F.col("in_big") + F.col("in_rest") - 1)))
+    return rows.join(sigs.select("cls", "sig"), "cls").select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "cls", "component", "sig")
+
+
+def _candidates(table: pa.Table, limit: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each row of the lower block, with the rows of the upper one that are near it and meet it in this bucket first."""
+    own, cls = table.column("own").to_numpy(), table.column("cls").to_numpy()
+    sig = _sigs(table.column("sig"))
+    keys = index_keys(sig, limit)
+    bucket = int((keys[0] == np.array(table.column("key")[0].as_py(), np.int64).view(np.uint64)).argmax())
+    lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+    left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+    for i in left.tolist():
+        others = right[cls[right] > cls[i]] if lo == hi else right
+        others = others[(sig[others] != sig[i]).sum(1) <= limit]
+        yield i, others[(keys[others] == keys[i]).argmax(1) == bucket]
+
+
+def _across(met: DataFrame, comps: DataFrame, sigs: DataFrame, texts: DataFrame, limit: int, percent: int, k: int) -> DataFrame:
     """Links (a, b) of different components by the pairs that meet in a bucket and are near enough, block by block.
 
-    A block has its members' texts and confirms on full sets itself, so no pair leaves it but links that connect what
-    was not connected in the block. A pair that meets in several buckets is looked at in the first of them only.
+    What has no near member of another component in a block is left out of it before texts are fetched. A block confirms
+    on full sets itself, so no pair leaves it but links that connect what was not connected in the block.
     """
-    sizes = met.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = met.join(sizes, "key").join(sigs.select("rep", "sig"), "rep").join(texts, "rep")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("own", own).withColumn("other", other).select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "component", "sig", "text")
+
+    def near(table: pa.Table) -> pa.Table:
+        component = table.column("component").to_numpy()
+        useful = np.zeros(len(component), bool)
+        for i, others in _candidates(table, limit):
+            others = others[component[others] != component[i]]
+            useful[others] = True
+            useful[i] |= len(others) > 0
+        return table.filter(pa.array(useful))
+
+    columns = "key long, lo int, hi int, own int, cls long, component long, sig binary"
+    blocks, _ = materialize(_blocks(met, comps, sigs).groupBy("key", "lo", "hi").applyInArrow(near, columns), "minhash-blocks")
 
     def run(table: pa.Table) -> pa.Table:
-        own, rep, comp = (table.column(c).to_numpy() for c in ("own", "rep", "component"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
-        keys = index_keys(sig)
-        bucket = int((keys[0] == np.array(table.column("key")[0].as_py(), np.int64).view(np.uint64)).argmax())
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        text = table.column("text").combine_chunks()
+        comp, text = table.column("component").to_numpy(), table.column("text").combine_chunks()
         sets: dict[int, np.ndarray] = {}
 
         def set_of(i: int) -> np.ndarray:
@@ -194,58 +253,64 @@ def _across(met: DataFrame, sigs: DataFrame, texts: DataFrame, limit: int, perce
 
         _, group = np.unique(comp, return_inverse=True)  # grows together as links are found
         a, b = [], []
-        for i in left.tolist():
-            others = right[(group[right] != group[i]) & ((rep[right] > rep[i]) if lo == hi else True)]
-            others = others[(sig[others] != sig[i]).sum(1) <= limit]
-            others = others[(keys[others] == keys[i]).argmax(1) == bucket]
+        for i, others in _candidates(table, limit):
             for j in others.tolist():
-                if group[i] == group[j]:
-                    continue
-                one, two = set_of(i), set_of(j)
-                if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
-                    continue
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                if 100 * both >= percent * (len(one) + len(two) - both):
+                if group[i] != group[j] and _linked(set_of(i), set_of(j), percent):
                     a.append(comp[i])
                     b.append(comp[j])
                     group[group == group[j]] = group[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return rows.groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
+    return blocks.join(texts, "cls").groupBy("key", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: texts whose shingle sets' intersection is at least percent / 100
     of their union are linked, and a component has the smallest id that links lead to."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     limit = distance_limit(percent / 100)
     sketches, _ = materialize(sketch(docs, k), "minhash-sketches")
-    classes = sketches.where("n_shingles > 0").groupBy("n_shingles", "set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    # The signature depends on the set alone; it is taken from the row of the class's smallest id.
-    sigs = sketches.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"])
-    sigs, _ = materialize(sigs, "minhash-classes")
-    keys = _with_keys(sigs)
-    several = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met, _ = materialize(keys.join(several, "key"), "minhash-buckets")
-    texts = docs.withColumnRenamed("doc_id", "rep").join(met.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    full = sketches.where("n_shingles > 0 and doc_id is not null")
+    # A class is named by the hash of its set; its signature depends on the set alone. Of its rows one serves, that of the
+    # smallest id, by which its text is found again.
+    one = F.min(F.struct("doc_id", "text_hash", "n_bytes", "sig")).alias("one")
+    classes = full.groupBy("n_shingles", "set_a", "set_b").agg(one, F.count("*").alias("n"))
+    sigs, _ = materialize(classes.select(F.col("set_a").alias("cls"), F.col("one.doc_id").alias("first"), F.col("one.text_hash").alias("text_hash"), F.col("one.n_bytes").alias("n_bytes"), F.col("one.sig").alias("sig"), "n_shingles", "set_a", "set_b", "n"), "minhash-classes")
+    keys = _with_keys(sigs, limit)
+    several, _ = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "minhash-keys")
+    met, _ = materialize(join_dealt(keys, several, ["key"], "cls").select("key", "cls"), "minhash-buckets")
+    texts = _texts(docs, sigs.join(met.select("cls").distinct(), "cls", "left_semi"))
     texts, _ = materialize(texts, "minhash-texts")
     pairs, _ = materialize(_against_two(met, sigs, limit), "minhash-pairs")
     links, _ = materialize(confirm(pairs, texts, percent, k), "minhash-links")
-    stars, _ = materialize(connected_components(links), "minhash-components")
-    now = met.join(stars.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = now.groupBy("key").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("key")
-    links, _ = materialize(_across(now.join(mixed, "key"), sigs, texts, limit, percent, k), "minhash-links")
-    components, _ = materialize(connected_components(links.unionByName(stars.select(F.col("id").alias("a"), F.col("component").alias("b")))), "minhash-components")
-    members = sketches.join(classes, ["n_shingles", "set_a", "set_b"], "left").join(components.withColumnRenamed("id", "rep"), "rep", "left")
-    return members.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    stars, _ = materialize(connected_components(links).withColumnRenamed("id", "cls"), "minhash-components")
+    links, _ = materialize(_across(met, stars, sigs, texts, limit, percent, k), "minhash-links")
+    components = connected_components(links.unionByName(stars.select(F.col("cls").alias("a"), F.col("component").alias("b"))))
+    components, _ = materialize(components.withColumnRenamed("id", "cls"), "minhash-components")
+    # From names of classes to the smallest id of each component.
+    placed = sigs.select("cls", "first").join(components, "cls")
+    smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    named = join_dealt(placed, smallest, ["component"], "cls").select("cls", "component_id")
+    known = sigs.select("n_shingles", "set_a", "set_b", "n", "cls", "first").join(named, "cls", "left").withColumn("component_id", F.coalesce("component_id", "first"))
+    known, _ = materialize(known.select("n_shingles", "set_a", "set_b", "n", "component_id"), "minhash-named")
+    members = join_dealt(full.select("doc_id", "n_shingles", "set_a", "set_b"), known, ["n_shingles", "set_a", "set_b"], "doc_id").select("doc_id", "n_shingles", "component_id")
+    rest = sketches.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return members.unionByName(rest)
+
+
+def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls and text of each class: that of the row of its first id with the text's hash, as an id may repeat."""
+    wanted = classes.select("cls", F.col("first").alias("doc_id"), "text_hash")
+    return docs.join(wanted, ["doc_id", "text_hash"]).select("cls", "text").dropDuplicates(["cls"])
 
 
 def keep_first(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those that are linked, over any steps, with a document of a smaller id; rows with a null id stay."""
-    gone = near_duplicates(docs, percent, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = fresh("gone", docs)
+    gone = near_duplicates(docs, percent, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op5_minhash_hamming(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.withColumn("kept", F.col("component_id") == F.col("doc_id"))
+    return found.withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
