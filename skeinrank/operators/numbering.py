@@ -1,31 +1,52 @@
-"""Positions in a total order without one task that has all rows."""
+"""Positions in a total order, and the first rows of one, without one task that has all rows."""
 
 from __future__ import annotations
 
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import written
 
-def numbered(df: DataFrame, key: str, name: str = "position", parts: int = 64) -> DataFrame:
-    """Adds the 0-based position in the order of key, a unique number or text column without nulls.
 
-    Rows are dealt by ranges of a hash prefix or of quantiles, counted, and numbered within each range; the ranges' counts
-    (at most parts of them) give the first number of each.
+def numbered(df: DataFrame, key: str, name: str = "position") -> DataFrame:
+    """Adds the 0-based position in the order of key, a unique column without nulls.
+
+    Rows are dealt by ranges of the key, sorted and written once with their place in their range; what is counted again is
+    a number for each range, which gives the first position of each.
+    """
+    spark = df.sparkSession
+    ranged = df.repartitionByRange(key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(ranged, "numbered")
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    counts = sorted(placed.groupBy(part.alias("part")).count().collect())  # a row for each range
+    first = accumulate([0] + [r["count"] for r in counts])
+    starts = spark.createDataFrame([(r["part"], n) for r, n in zip(counts, first)], "_part long, _first long")
+    joined = placed.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return joined.withColumn(name, F.col("_first") + within).drop("_at", "_part", "_first")
+
+
+def smallest(df: DataFrame, key: str, n: int, few: int = 50_000) -> tuple[DataFrame, int]:
+    """The n rows with the smallest key, a text of hex digits, and how many there are (fewer if df has not so many).
+
+    Rows are counted by their next three digits until at most `few` keys of those that decide are left, so at most that
+    many texts come to the driver. Rows with equal keys are alike, so of those at the cut any may stay.
     """
-    if dict(df.dtypes)[key] in ("string",):
-        # Text has no quantiles in Spark; a sorted sample of at most 64 for each part gives the bounds.
-        seen = [r[0] for r in df.select(key).orderBy(F.xxhash64(key), key).limit(64 * parts).collect()]
-        seen.sort()
-        bounds = sorted({seen[i * len(seen) // parts] for i in range(1, parts)}) if seen else []
-    else:
-        cuts = df.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)], 1000)).first()[0] or []
-        bounds = sorted(set(cuts))
-    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x <= F.col(key))) if bounds else F.lit(0)
-    dealt = df.withColumn("_part", part)
-    counts = dict(dealt.groupBy("_part").count().collect())
-    first = dict(zip(range(len(bounds) + 1), accumulate([0] + [counts.get(i, 0) for i in range(len(bounds))]), strict=True))
-    start = F.create_map(*[F.lit(x) for kv in first.items() for x in kv])
-    within = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return dealt.withColumn(name, (within + start[F.col("_part")]).cast("long")).drop("_part")
+    prefix, left, below = "", n, F.lit(False)
+    while True:
+        inside = df.where(F.col(key).startswith(prefix)) if prefix else df
+        counts = dict(inside.groupBy(F.substring(key, len(prefix) + 1, 3).alias("d")).count().collect())
+        if not prefix and sum(counts.values()) <= n:
+            return df, sum(counts.values())
+        for digits in sorted(counts):
+            if counts[digits] >= left:
+                break
+            left -= counts[digits]
+        prefix += digits
+        below = F.col(key) < prefix
+        if counts[digits] <= few or len(digits) < 3:
+            keys = sorted(r[0] for r in df.where(F.col(key).startswith(prefix)).select(key).collect())
+            cut = keys[left - 1] if left else None
+            chosen = df.where(below if cut is None else F.col(key) <= cut)
+            return (chosen.limit(n) if cut is not None and keys.count(cut) > 1 else chosen), n

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import FEATURES
+from ..sources.files import written
+from .numbering import numbered, smallest
 
 
 def pair_join(rows: DataFrame, min_diff: int = 3, rid: str = "rid") -> DataFrame:
@@ -31,12 +33,13 @@ def _order(salt: str):
 
 def sample(found: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n pairs, each as likely as another, the same for the same seed: those with the smallest hashes."""
-    return found.orderBy(_order(str(seed)), "qid", "i", "j").limit(n)
+    return smallest(found.withColumn("_o", _order(str(seed))), "_o", n)[0].drop("_o")
 
 
 def shuffled(found: DataFrame, seed: int = 42) -> DataFrame:
-    """A bounded sample in another hash order, numbered from 1. The sample is one task's work, as it was taken by one."""
-    return found.withColumn("position", F.row_number().over(Window.orderBy(_order(f"shuffle{seed}"), "qid", "i", "j")))
+    """A sample in another hash order, numbered from 1."""
+    ordered = found.withColumn("_o", F.concat_ws(":", _order(f"shuffle{seed}"), "qid", "i", "j"))
+    return numbered(ordered, "_o").withColumn("position", (F.col("position") + 1).cast("int")).drop("_o")
 
 
 class TooFewPairs(ValueError):
@@ -44,8 +47,15 @@ class TooFewPairs(ValueError):
 
 
 def create_examples(rows: DataFrame, n: int = 1_000_000, min_diff: int = 3, seed: int = 42, rid: str = "rid") -> DataFrame:
-    """n examples in random order; TooFewPairs if there are not so many."""
-    chosen = sample(pairs(rows, min_diff, rid), n, seed)
-    if (have := chosen.count()) < n:
+    """n examples in random order; TooFewPairs if there are not so many. rid tells the rows of a query apart: the pairs are
+    drawn and numbered by it, and only the features of those drawn are fetched."""
+    rows = written(rows, "judged")
+    ids = pairs(rows.select("qid", rid, "relevance"), min_diff, rid)
+    drawn, have = smallest(ids.withColumn("_o", _order(str(seed))), "_o", n)
+    if have < n:
         raise TooFewPairs(f"{have} pairs, {n} asked for")
-    return shuffled(chosen, seed)
+    placed = shuffled(drawn.drop("_o"), seed)
+    names = [c for c in FEATURES if c in rows.columns]
+    side = lambda key, name: rows.select("qid", F.col(rid).alias(key), F.struct(*names).alias(name))
+    both = placed.join(side("i", "_a"), ["qid", "i"]).join(side("j", "_b"), ["qid", "j"])
+    return both.select("qid", "i", "j", *[(F.col(f"_a.{c}") - F.col(f"_b.{c}")).alias(c) for c in names], "Y", "position")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from datetime import datetime, timezone
 
@@ -11,6 +12,34 @@ from pyspark.sql import functions as F
 from ..schemas import FEATURES, KIND, PAIR_SCHEMA
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder of spark.checkpoint.dir, removed when the application ends. Where that is unset, a single
+    machine (tests) has a folder of its own; a cluster without it is an error, as its executors share no temporary folder."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None)
+    if base is None:
+        current = context._jsc.sc().getCheckpointDir()
+        if not current.isDefined():
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="skeinrank-"))
+            current = context._jsc.sc().getCheckpointDir()
+        base = current.get()
+    path = f"{base.rstrip('/')}/skeinrank/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where.getParent())
+    fs.deleteOnExit(where)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as Parquet in the scratch folder: computed once, and there still if an executor is lost."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def unique_name(base: str) -> str:
     """base with the time and a random part, never the same twice."""
     now = datetime.now(timezone.utc)
@@ -64,6 +93,16 @@ def stored_bytes(spark: SparkSession, path: str) -> int:
     return int(fs.getContentSummary(where).getLength()) if fs.exists(where) else 0
 
 
+def directory_entries(spark: SparkSession, path: str) -> int:
+    """Files and folders below path; 0 if there is none."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return 0
+    found = fs.getContentSummary(where)
+    return int(found.getFileCount() + found.getDirectoryCount()) - 1
+
+
 def append_metrics(spark: SparkSession, record: dict, path: str) -> None:
     """One evaluation record more in the metrics table at path."""
     metrics_frame(spark, record).write.mode("append").parquet(path)
