@@ -11,6 +11,11 @@ def tokenize(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(text, F.lit(r"[^\p{IsWhite_Space}]+"), F.lit(0)), F.array().cast("array<string>"))
 
 
+def token_count(text: Column) -> Column:
+    """How many tokens tokenize() gives, without making them."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\p{IsWhite_Space}]+")), F.lit(0))
+
+
 def url_slashes(url: Column) -> Column:
     return F.regexp_count(F.coalesce(url, F.lit("")), F.lit("/"))
 

@@ -9,6 +9,7 @@ from ..functions.maths import bm25_term, five_numbers, idf
 from ..functions.text import tokenize, url_length, url_slashes
 from ..schemas import FEATURES, KIND, TOP
 from ..sources.corpus import Corpus
+from ..sources.files import written
 
 
 def with_terms(queries: DataFrame) -> DataFrame:
@@ -61,9 +62,14 @@ def term_frequencies(queries: DataFrame, postings: DataFrame) -> DataFrame:
 
 
 def candidates(queries: DataFrame, corpus: Corpus) -> DataFrame:
-    """query_id, doc_id, terms, tf (map of term to frequency), idf (map of term to idf): what the features need."""
-    tf = term_frequencies(queries, corpus.postings).groupBy("query_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tf"))
-    weights = distinct_terms(queries).join(term_idf(queries, corpus.postings, corpus.stats), "term")
+    """query_id, doc_id, terms, tf (map of term to frequency), idf (map of term to idf): what the features need.
+
+    The postings of the queries' terms are cut out of the index once and written, as frequencies and IDF both need them.
+    """
+    asked = distinct_terms(queries).select("term").distinct()
+    postings = written(corpus.postings.select("term", "doc_id", "frequency").join(asked, "term", "left_semi"), "postings")
+    tf = term_frequencies(queries, postings).groupBy("query_id", "doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tf"))
+    weights = distinct_terms(queries).join(term_idf(queries, postings, corpus.stats), "term")
     weights = weights.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"))
     return tf.join(with_terms(queries).join(weights, "query_id"), "query_id")
 
@@ -127,8 +133,12 @@ def top(ranked: DataFrame, k: int = TOP) -> DataFrame:
 
 
 def features(found: DataFrame, links: DataFrame) -> DataFrame:
-    """All features of scored rows. Documents without metadata have zeros, those without link statistics three zeros."""
-    joined = found.join(links.select("url", "page_rank", "in_link_count", "out_link_count"), "url", "left")
+    """All features of scored rows. Documents without metadata have zeros, those without link statistics three zeros. Of
+    several statistics of one url the largest page rank's count. Documents without a url are spread over keys of their own,
+    as there may be many."""
+    known = links.where("url <> ''").groupBy(F.col("url").alias("_key")).agg(F.max(F.struct("page_rank", "in_link_count", "out_link_count")).alias("_l")).select("_key", "_l.*")
+    key = F.when(F.col("url") == "", F.concat(F.lit("\0"), F.col("doc_id").cast("string"))).otherwise(F.col("url"))
+    joined = found.withColumn("_key", key).join(known, "_key", "left")
     values = coverage() | tf_stats() | {"StreamLength": F.col("doc_length")} | normalized_stats(F.col("doc_length")) | tfidf_stats()
     values |= {"BM25": F.col("bm25"), "NumSlashesInURL": url_slashes(F.col("url")), "LengthOfURL": url_length(F.col("url"))}
     values |= {"InlinkCount": F.coalesce("in_link_count", F.lit(0)), "OutlinkCount": F.coalesce("out_link_count", F.lit(0)), "PageRank": F.coalesce("page_rank", F.lit(0.0))}

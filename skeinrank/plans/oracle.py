@@ -155,5 +155,6 @@ def oracle_sql() -> dict[str, str]:
         "robust_scale_fit": _NUM + " UNION ALL ".join(f"SELECT '{c}' AS feature, {_r(f'quantile_cont({c}, 0.5)')} AS median, {_r(f'CASE WHEN quantile_cont({c}, 0.75) = quantile_cont({c}, 0.25) THEN 1 ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END')} AS iqr FROM n" for c in NUMERIC),
         "robust_scale": _NUM + f", e AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS d_{c}, CASE WHEN quantile_cont({c}, 0.75) = quantile_cont({c}, 0.25) THEN 1 ELSE quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) END AS i_{c}' for c in NUMERIC)} FROM n) SELECT rid, {', '.join(f'{_r(f"({c} - d_{c}) / i_{c}")} AS {c}' for c in NUMERIC)} FROM n CROSS JOIN e",
         "anova_f": _anova(),
+        "feature_selection": f"SELECT feature, TRUE AS selected FROM ({_anova()})",
         "ce_smoothed": _NUM + f"SELECT {_r('avg(-((t * 0.9 + 0.05) * ln(p) + (1 - (t * 0.9 + 0.05)) * ln(1 - p)))')} AS loss FROM p",
     }

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import token_count, tokenize
 from ..schemas import LINKS_JSON, METADATA_JSON, POSTINGS_JSON, STATS_JSON
 
 
@@ -28,7 +28,7 @@ def postings_of(documents: DataFrame) -> DataFrame:
 
 
 def stats_of(documents: DataFrame) -> DataFrame:
-    return documents.agg(F.coalesce(F.avg(F.size(tokenize(F.col("text")))), F.lit(0.0)).alias("avg_doc_length"), F.count("*").alias("doc_count"))
+    return documents.agg(F.coalesce(F.avg(token_count(F.col("text"))), F.lit(0.0)).alias("avg_doc_length"), F.count("*").alias("doc_count"))
 
 
 def metadata_of(documents: DataFrame, pages: DataFrame, how: str = "left") -> DataFrame:
@@ -36,7 +36,7 @@ def metadata_of(documents: DataFrame, pages: DataFrame, how: str = "left") -> Da
     page = pages.select(F.col("page_id").alias("doc_id"), "url", F.regexp_count("html", F.lit("<img")).alias("images"), F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))
     return documents.join(page, "doc_id", how).select(
         "doc_id",
-        F.size(tokenize(F.col("text"))).alias("doc_length"),
+        token_count(F.col("text")).alias("doc_length"),
         F.lit("2024-01-01T00:00:00Z").alias("time_last_updated"),
         F.col("source").alias("doc_type"),
         F.coalesce("images", F.lit(0)).alias("image_count"),

@@ -29,7 +29,7 @@ def test_queries_take_all_rows(spark, monkeypatch):
     monkeypatch.setattr(linear, "grid_search", lambda df, columns, key, penalties, folds=5, **k: seen.update(n=df.count(), columns=columns, penalties=penalties, folds=folds, **k) or (1.0, [(1.0, 1.0)]))
     queries.cv_argmax(spark, DIR)
     assert seen == {"n": pairwise.pairs(queries._judged(spark, DIR)).count(), "columns": list(FEATURES), "penalties": [1.0, 1.25, 1.5, 1.75, 2.0, 2.25], "folds": 5, "epochs": 100}
-    monkeypatch.setattr(queries.scaling, "fit_network", lambda df, *a, **k: seen.update(fit=df.count()) or 1 / 0)
+    monkeypatch.setattr(queries.residual, "fit", lambda df, held, *a, **k: seen.update(fit=df.count(), held=held.count()) or 1 / 0)
     with pytest.raises(ZeroDivisionError):
         queries.neural_eval(spark, DIR)
-    assert seen["fit"] > 0.7 * queries._scaled(spark, DIR).count()
+    assert seen["fit"] + seen["held"] > 0.7 * queries._scaled(spark, DIR).count()
