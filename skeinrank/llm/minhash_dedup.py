@@ -38,7 +38,9 @@ from .components import connected_components
 SHINGLE, VALUES, CHUNKS = 5, 32, 8
 SIZE = VALUES // CHUNKS
 #: Members of a bucket, and bytes of their texts, that are compared at once; a larger bucket is compared block by block.
-BLOCK, BLOCK_BYTES = 1024, 8 << 20
+BLOCK, BLOCK_BYTES = 512, 8 << 20
+#: Members up to which the buckets of a batch are compared all at once.
+FEW = 48
 
 
 def distance_limit(similarity: float, miss: float = 1e-7) -> int:
@@ -125,7 +127,13 @@ def sketch(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
 
 
 def _sigs(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, VALUES)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.zeros((0, VALUES), np.uint16)
+    _, offsets, data = column.buffers()
+    first = int(np.frombuffer(offsets, np.int32)[column.offset])
+    return np.frombuffer(data, np.uint16, len(column) * VALUES, first).reshape(-1, VALUES)
 
 
 def _with_keys(classes: DataFrame, limit: int) -> DataFrame:
@@ -210,37 +218,83 @@ def _blocks(met: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def _candidates(table: pa.Table, limit: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row of the lower block, with the rows of the upper one that are near it and meet it in this bucket first."""
-    own, cls = table.column("own").to_numpy(), table.column("cls").to_numpy()
+    """Each row of the lower block, with the rows of the upper one of other components that are near it and meet it in
+    this bucket first."""
+    own, cls, component = (table.column(c).to_numpy() for c in ("own", "cls", "component"))
     sig = _sigs(table.column("sig"))
-    keys = index_keys(sig, limit)
-    bucket = int((keys[0] == np.array(table.column("key")[0].as_py(), np.int64).view(np.uint64)).argmax())
+    keys, bucket = index_keys(sig, limit), np.int64(table.column("key")[0].as_py()).view(np.uint64)
     lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
     left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
     for i in left.tolist():
-        others = right[cls[right] > cls[i]] if lo == hi else right
+        others = right[(component[right] != component[i]) & ((cls[right] > cls[i]) if lo == hi else True)]
         others = others[(sig[others] != sig[i]).sum(1) <= limit]
-        yield i, others[(keys[others] == keys[i]).argmax(1) == bucket]
+        same = keys[others] == keys[i]
+        yield i, others[keys[i][same.argmax(1)] == bucket]
+
+
+def _near_rows(table: pa.Table, limit: int) -> np.ndarray:
+    """Which rows of some whole blocks, in order, have a candidate in their block. Small blocks are compared all at once,
+    by the distance of rows in the table."""
+    key, lo, hi, own, component = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "own", "component"))
+    sig, useful = _sigs(table.column("sig")), np.zeros(len(key), bool)
+    new = np.append(True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))
+    starts = np.flatnonzero(new)
+    sizes = np.diff(np.append(starts, len(key)))
+    for at, size in zip(starts[sizes > FEW].tolist(), sizes[sizes > FEW].tolist(), strict=True):
+        for i, others in _candidates(table.slice(at, size), limit):
+            useful[at + others] = True
+            useful[at + i] |= len(others) > 0
+    left = np.repeat(sizes, sizes) - (np.arange(len(key)) - np.repeat(starts, sizes))  # rows of the block from each row on
+    rows = np.flatnonzero((left > 1) & np.repeat(sizes <= FEW, sizes))
+    firsts, seconds = [], []
+    for d in range(1, FEW):
+        rows = rows[left[rows] > d]
+        if not len(rows):
+            break
+        i, j = rows, rows + d
+        meet = (component[i] != component[j]) & ((own[i] != own[j]) | (lo[i] == hi[i]))
+        i, j = i[meet], j[meet]
+        near = (sig[i] != sig[j]).sum(1) <= limit
+        firsts.append(i[near])
+        seconds.append(j[near])
+    if firsts and len(i := np.concatenate(firsts)):
+        j = np.concatenate(seconds)
+        known, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        keys = index_keys(sig[known], limit)
+        one, two = keys[place[: len(i)]], keys[place[len(i) :]]
+        at = (one == two).argmax(1)
+        meet = one[np.arange(len(i)), at] == key[i].view(np.uint64)
+        useful[i[meet]] = useful[j[meet]] = True
+    return useful
 
 
 def _across(met: DataFrame, comps: DataFrame, sigs: DataFrame, texts: DataFrame, limit: int, percent: int, k: int) -> DataFrame:
     """Links (a, b) of different components by the pairs that meet in a bucket and are near enough, block by block.
 
-    What has no near member of another component in a block is left out of it before texts are fetched. A block confirms
-    on full sets itself, so no pair leaves it but links that connect what was not connected in the block.
+    What has no near member of another component in a block is left out of it before texts are fetched; blocks come in a
+    stream for that, in order, so most are compared many at a time. A block confirms on full sets itself, so no pair
+    leaves it but links that connect what was not connected in the block.
     """
 
-    def near(table: pa.Table) -> pa.Table:
-        component = table.column("component").to_numpy()
-        useful = np.zeros(len(component), bool)
-        for i, others in _candidates(table, limit):
-            others = others[component[others] != component[i]]
-            useful[others] = True
-            useful[i] |= len(others) > 0
-        return table.filter(pa.array(useful))
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])]).combine_chunks()
+            last = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
+            inside = np.flatnonzero((last[0] != last[0][-1]) | (last[1] != last[1][-1]) | (last[2] != last[2][-1]))
+            end = int(inside[-1]) + 1 if len(inside) else 0  # the last block may go on in the next batch
+            if end:
+                whole = table.slice(0, end)
+                yield from whole.filter(pa.array(_near_rows(whole, limit))).combine_chunks().to_batches()
+            held = table.slice(end)
+        if held is not None:
+            yield from held.filter(pa.array(_near_rows(held, limit))).combine_chunks().to_batches()
 
     columns = "key long, lo int, hi int, own int, cls long, component long, sig binary"
-    blocks, _ = materialize(_blocks(met, comps, sigs).groupBy("key", "lo", "hi").applyInArrow(near, columns), "minhash-blocks")
+    stream = _blocks(met, comps, sigs).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    blocks, _ = materialize(stream.mapInArrow(near, columns), "minhash-blocks")
 
     def run(table: pa.Table) -> pa.Table:
         comp, text = table.column("component").to_numpy(), table.column("text").combine_chunks()
