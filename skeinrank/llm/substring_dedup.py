@@ -11,8 +11,9 @@ Nothing grows with a group of copies: within a batch of documents only the first
 the others are repeats already, so a passage in a third of all documents costs a row for each batch.
 
 Cases: a null or empty text has no words and stays as it is; texts shorter than the window lose nothing; a text of any
-length is scanned whole; rows with a null id are left out, as no result could name them; rows that repeat an id and its
-text count as one document and get the same result each; an empty table gives an empty result; other columns are not
+length is scanned whole; a row with a null id stands in no order, so it loses nothing and makes nothing repeat; rows that
+repeat an id and its text count as one document and get the same result each; rows that repeat an id with other texts
+are documents of their own, in the order of their checksums; an empty table gives an empty result; other columns are not
 read.
 """
 
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from ._common import constants, input_bytes, materialize, mix, run_hashes, slices, text_buffers, word_hashes, word_spans
 
 WINDOW, ANCHOR = 20, 6
-#: One entry of a dealt block: 32 further bits of the key, the stretch's hash, its document, first window and number of windows.
-ENTRY = np.dtype([("key", "<u4"), ("hash", "<u8"), ("doc", "<i8"), ("first", "<i4"), ("count", "<i4")])
+#: One entry of a dealt block: 32 further bits of the key, the stretch's hash, its document (id, and a checksum of the text,
+#: as an id may repeat with other texts), first window and number of windows.
+ENTRY = np.dtype([("key", "<u4"), ("hash", "<u8"), ("doc", "<i8"), ("tag", "<u4"), ("first", "<i4"), ("count", "<i4")])
 #: Bytes of input for each bucket that anchors are dealt to; a bucket is one group of a task.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 512
 
@@ -78,7 +80,7 @@ def anchors(words: np.ndarray, first: np.ndarray, window: int, k: int) -> tuple[
 def _split(bucket: np.ndarray, entries: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """bucket, kind and entries of each block: the first occurrence of each (bucket, key, hash) has kind 0; the others
     are repeats of it, kind 1, run together to stretches."""
-    order = np.lexsort((entries["first"], entries["doc"], entries["hash"], entries["key"], bucket))
+    order = np.lexsort((entries["first"], entries["tag"], entries["doc"], entries["hash"], entries["key"], bucket))
     bucket, entries = bucket[order], entries[order]
     same = np.zeros(len(entries), bool)
     same[1:] = (bucket[1:] == bucket[:-1]) & (entries["key"][1:] == entries["key"][:-1]) & (entries["hash"][1:] == entries["hash"][:-1])
@@ -93,14 +95,15 @@ def _split(bucket: np.ndarray, entries: np.ndarray) -> Iterator[tuple[int, int,
 def later(entries: np.ndarray, same: np.ndarray) -> np.ndarray:
     """Whether an entry starts after the first of its group (a repeated row starts at the same place)."""
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(entries))))
-    return (entries["doc"] != entries["doc"][head]) | (entries["first"] != entries["first"][head])
+    return (entries["doc"] != entries["doc"][head]) | (entries["tag"] != entries["tag"][head]) | (entries["first"] != entries["first"][head])
 
 
 def joined(entries: np.ndarray) -> np.ndarray:
-    """Entries of the same document whose windows follow on each other or overlap, as one; only doc, first and count hold."""
-    entries = entries[np.lexsort((entries["first"], entries["doc"]))]
+    """Entries of the same document whose windows follow on each other or overlap, as one; only doc, tag, first and count hold."""
+    entries = entries[np.lexsort((entries["first"], entries["tag"], entries["doc"]))]
     end = entries["first"].astype(np.int64) + entries["count"]
-    base = np.searchsorted(np.unique(entries["doc"]), entries["doc"]).astype(np.int64) << 33  # apart for each document
+    other = (entries["doc"][1:] != entries["doc"][:-1]) | (entries["tag"][1:] != entries["tag"][:-1])
+    base = np.cumsum(np.append(False, other)).astype(np.int64) << 33  # apart for each document
     reach = np.maximum.accumulate(base + end)
     new = np.ones(len(entries), bool)
     new[1:] = base[1:] + entries["first"][1:] > reach[:-1]
@@ -120,17 +123,17 @@ def _blocks(parts: Iterator[tuple[int, int, np.ndarray]], buckets: int) -> pa.Re
 
 
 BLOCK = "bucket long, kind byte, data binary"
-MARK = "doc_id long, first int, count int, open boolean"
+MARK = "doc_id long, tag long, first int, count int, open boolean"
 
 
-def _deal(places: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of what comes as (key hash, hash, doc, first, count), split once for each some millions of entries."""
+def _deal(places: Iterator[tuple[np.ndarray, ...]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of what comes as (key hash, hash, doc, tag, first, count), split once for each some millions of entries."""
     held, size = [], 0
 
     def out() -> pa.RecordBatch:
-        key, hash_, doc, first, count = (np.concatenate(x) for x in zip(*held, strict=True))
+        key, hash_, doc, tag, first, count = (np.concatenate(x) for x in zip(*held, strict=True))
         entries = np.empty(len(key), ENTRY)
-        entries["key"], entries["hash"], entries["doc"], entries["first"], entries["count"] = key & np.uint64(0xFFFFFFFF), hash_, doc, first, count
+        entries["key"], entries["hash"], entries["doc"], entries["tag"], entries["first"], entries["count"] = key & np.uint64(0xFFFFFFFF), hash_, doc, tag, first, count
         return _blocks(_split(((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), entries), buckets)
 
     for x in places:
@@ -149,17 +152,17 @@ def _find_first(table: pa.Table) -> pa.Table:
     data = table.column("data").to_pylist()
     done = [np.frombuffer(d, ENTRY) for d, k in zip(data, kinds, strict=True) if k == 1]
     held = [np.frombuffer(d, ENTRY) for d, k in zip(data, kinds, strict=True) if k == 0]
-    doc, first, count, opened = [], [], [], []
+    doc, tag, first, count, opened = [], [], [], [], []
 
     def put(entries: np.ndarray, is_open: bool) -> None:
-        for column, value in ((doc, entries["doc"]), (first, entries["first"]), (count, entries["count"]), (opened, np.full(len(entries), is_open))):
+        for column, value in ((doc, entries["doc"]), (tag, entries["tag"].astype(np.int64)), (first, entries["first"]), (count, entries["count"]), (opened, np.full(len(entries), is_open))):
             column.append(value)
 
     for entries in done:
         put(entries, False)
     if held:
         entries = np.concatenate(held)
-        entries = entries[np.lexsort((entries["first"], entries["doc"], entries["hash"], entries["key"]))]
+        entries = entries[np.lexsort((entries["first"], entries["tag"], entries["doc"], entries["hash"], entries["key"]))]
         same_key = np.append(False, entries["key"][1:] == entries["key"][:-1])
         same = same_key & np.append(False, entries["hash"][1:] == entries["hash"][:-1])
         if (repeats := entries[same & later(entries, same)]).size:
@@ -170,35 +173,36 @@ def _find_first(table: pa.Table) -> pa.Table:
         several[:-1] |= several[1:]
         put(entries[heads][several], True)
     cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-    return pa.table({"doc_id": cat(doc, pa.int64()), "first": cat(first, pa.int32()), "count": cat(count, pa.int32()), "open": cat(opened, pa.bool_())})
+    return pa.table({"doc_id": cat(doc, pa.int64()), "tag": cat(tag, pa.int64()), "first": cat(first, pa.int32()), "count": cat(count, pa.int32()), "open": cat(opened, pa.bool_())})
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
     """doc_id, text, parts: for each document the runs (first, count) of its windows of `window` words whose words also
     start earlier (smaller id, or earlier in the document); null without any. merge_spans() makes maximal repeats of them."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.crc32(F.coalesce(text_col, F.lit("")).cast("binary")).alias("tag"))
+    docs = every.where("doc_id is not null")
     buckets = int(max(LEAST_BUCKETS, input_bytes(docs) // BUCKET_BYTES))
 
     def seeds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
             for batch in batches:
-                ids = batch.column(0).to_numpy()
+                ids, tags = batch.column(0).to_numpy(), batch.column(2).to_numpy()
                 raw, offs = text_buffers(batch.column(1))
                 for lo, hi in slices(offs):
                     buf, o = raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                     s, e, first = word_spans(buf, o)
                     row, _, begin, count, key, stretch = anchors(word_hashes(buf, s, e), first, window, k)
                     if len(row):
-                        yield key, stretch, ids[lo:hi][row], begin - first[row], count
+                        yield key, stretch, ids[lo:hi][row], tags[lo:hi][row], begin - first[row], count
 
         return _deal(found(), buckets)
 
     def extensions(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
             for batch in batches:
-                ids = batch.column(0).to_numpy()
+                ids, tags = batch.column(0).to_numpy(), batch.column(2).to_numpy()
                 raw, offs = text_buffers(batch.column(1))
-                lists = batch.column(2)
+                lists = batch.column(3)
                 for lo, hi in slices(offs):
                     buf, o = raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
                     s, e, first = word_spans(buf, o)
@@ -211,17 +215,17 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     places = np.repeat(begin, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
                     row = np.repeat(row, count)
                     at = places + first[row]
-                    yield one[at], two[at], ids[lo:hi][row], places, np.ones(len(at), np.int32)
+                    yield one[at], two[at], ids[lo:hi][row], tags[lo:hi][row], places, np.ones(len(at), np.int32)
 
         return _deal(found(), buckets)
 
     marks = docs.mapInArrow(seeds, BLOCK).groupBy("bucket").applyInArrow(_find_first, MARK)
     marks, _ = materialize(marks, "substring-marks")
-    unsure = marks.where("open").groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("parts"))
-    more = docs.join(unsure, "doc_id").mapInArrow(extensions, BLOCK).groupBy("bucket").applyInArrow(_find_first, MARK)
+    unsure = marks.where("open").groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "count")).alias("parts"))
+    more = docs.join(unsure, ["doc_id", "tag"]).select("doc_id", "text", "tag", "parts").mapInArrow(extensions, BLOCK).groupBy("bucket").applyInArrow(_find_first, MARK)
     repeated = marks.where("not open").unionByName(more.where("not open"))
-    repeated = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("first", "count")).alias("parts"))
-    return docs.join(repeated, "doc_id", "left").select("doc_id", "text", "parts")
+    repeated = repeated.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "count")).alias("parts"))
+    return every.join(repeated, ["doc_id", "tag"], "left").select("doc_id", "text", "parts")
 
 
 def kept_digest(found: DataFrame, window: int = WINDOW) -> DataFrame:
