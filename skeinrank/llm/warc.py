@@ -6,7 +6,8 @@ successful attempts report is read.
 
 Salvage reader: checks each record's framing, lengths and digests. Where a check fails it searches for the next gzip
 member or version line that leads to a valid record, goes on there, and reports the bytes between as a quarantined gap
-with the reason. Archives are read window by window, so memory is bounded by the longest record.
+with the reason. Archives are read window by window, so memory is bounded by the longest member, inflated; a length
+that leads beyond the archive's end is not believed.
 
 Cases: a null html is an empty payload, a null url an empty target; payloads of any length are written whole; rows with
 a null page_id are archived, and come back with a null one; rows that repeat a page_id are records of their own (all
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import logging
 import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -29,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, shared_path
+from ._common import join_dealt, materialize, shared_path
 
 LEAST_REVISIT = 1000
 ARCHIVE_BYTES = 64 << 20
@@ -125,8 +127,8 @@ def _checked(headers: dict[str, str], block: bytes, tail: bytes) -> None:
         raise Invalid("block digest")
 
 
-def _plain(get: Callable[[int, int], bytes], at: int, offset: int) -> Record:
-    """The record whose version line is at `at`."""
+def _plain(get: Callable[[int, int], bytes], at: int, offset: int, end: int) -> Record:
+    """The record whose version line is at `at`, in what goes up to `end`."""
     n = 2048
     while True:  # a header may have any length, as a url has
         head = get(at, n)
@@ -140,6 +142,8 @@ def _plain(get: Callable[[int, int], bytes], at: int, offset: int) -> Record:
     size = head.index(b"\r\n\r\n")
     headers = _headers(head[:size])
     length = int(headers["content-length"])
+    if at + size + 4 + length + 4 > end:
+        raise Invalid("length")
     body = get(at + size + 4, length + 4)
     _checked(headers, body[:length], body[length:])
     return Record(offset, size + 4 + length + 4, headers, body[:length])
@@ -177,7 +181,7 @@ def _at(source: Source, at: int) -> tuple[list[Record], int | None, str]:
         found, pos = [], 0
         while 0 <= pos < len(data):
             try:
-                r = _plain(lambda o, n: data[o : o + n], pos, at)
+                r = _plain(lambda o, n: data[o : o + n], pos, at, len(data))
             except Invalid as why:
                 damage = damage or str(why)
                 pos = data.find(VERSION, pos + 1)
@@ -189,7 +193,7 @@ def _at(source: Source, at: int) -> tuple[list[Record], int | None, str]:
             raise Invalid(damage or "empty member")
         return found, end if known else None, damage
     if head == VERSION:
-        r = _plain(source.get, at, at)
+        r = _plain(source.get, at, at, source.size)
         return [r], at + r.length, ""
     raise Invalid("no member or version line")
 
@@ -333,25 +337,37 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, html, refers_to: the page_id of the response for each page that revisits one. Of equal payloads
     (same SHA-1 and length) of at least `least` bytes that with the largest page_id is the response."""
     sized = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("_sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("_size"))
-    # Groups of one need no look-up, so what is joined holds repeated payloads only.
-    repeated = sized.where((F.col("_size") >= least) & F.col("page_id").isNotNull()).groupBy("_sha", "_size").agg(F.max("page_id").alias("_last"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    joined = sized.join(repeated, ["_sha", "_size"], "left")
+    # Groups of one need no look-up, so what is joined holds repeated payloads only; one in a third of all pages is dealt out.
+    repeated = sized.where((F.col("_size") >= least) & F.col("page_id").isNotNull()).groupBy("_sha", "_size").agg(F.max("page_id").alias("_last"), F.count("*").alias("n")).where("n > 1")
+    repeated, _ = materialize(repeated, "warc-repeated")
+    joined = join_dealt(sized, repeated, ["_sha", "_size"], "page_id", how="left")
     return joined.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("_last"), F.col("_last")).alias("refers_to"))
 
 
-def all_back(written: DataFrame, read: DataFrame) -> DataFrame:
-    """read, written to the shared folder; fails if it has fewer rows than `written` has records."""
+def split_gaps(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The records of read_archives(), and the quarantined gaps (path, offset, length, reason); what was read is kept in
+    the shared folder, so the archives are read once. Gaps are logged by number and bytes."""
     read, _ = materialize(read, "warc-records")
-    want, got = written.agg(F.sum("records")).first()[0] or 0, read.count()
-    if got < want:
+    is_gap = F.col("status").startswith("gap: ")
+    gaps = read.where(is_gap).select("path", "offset", "length", F.substring("status", 6, 1 << 20).alias("reason"))
+    n, size = gaps.agg(F.count("*"), F.sum("length")).first()
+    if n:
+        logging.getLogger(__name__).warning("%d quarantined gaps of %d bytes", n, size)
+    return read.where(~is_gap), gaps
+
+
+def all_back(written: DataFrame, records: DataFrame) -> DataFrame:
+    """records; fails if there are not as many as were written."""
+    want, got = written.agg(F.sum("records")).first()[0] or 0, records.count()
+    if got != want:
         raise RuntimeError(f"{want} records were written, {got} came back")
-    return read
+    return records
 
 
 def op6_warc_salvage(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     written, _ = materialize(write_archives(with_revisits(pages), shared_path(spark, "warc"), 32 << 20), "warc-archives")
-    read = read_archives(written.repartition(max(1, written.count())), with_payload=False).where(F.col("record_type").isin("response", "revisit"))
+    read, _ = split_gaps(read_archives(written.repartition(max(1, written.count())), with_payload=False))
     read = all_back(written, read)
     number = lambda c: F.expr(f"try_cast(nullif(substring_index({c}, ':', -1), '') as bigint)")
     return read.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to_id").alias("refers_to"), "target_uri")
