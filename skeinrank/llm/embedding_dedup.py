@@ -12,8 +12,10 @@ fails and says the recall.
 Equal vectors are one class from the start, so a vector that fills a third of the table is one vertex.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors are compared
-with those of their own dimension; rows with a null id are left out, as no result could name them; an id that repeats
-counts once for each row; an empty table gives an empty result; other columns (labels too) are not read.
+with those of their own dimension, in double precision (doubles are never narrowed); a row with a null id has no links
+and a null component; an id that repeats with its vector counts once for each row (one that repeats with other vectors
+is not told apart: their links are taken together); an empty table gives an empty result; other columns (labels too) are
+not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import join_dealt, materialize
 from .components import connected_components
 
 THRESHOLD = 0.95
@@ -37,24 +39,35 @@ AUDIT_RECALL, ROUNDS = 0.99, 6
 
 
 def unit(rows: list[bytes]) -> np.ndarray:
-    """The vectors (bytes of 32-bit floats of one dimension) as double unit vectors."""
-    x = np.frombuffer(b"".join(rows), "<f4").reshape(len(rows), -1).astype(np.float64)
+    """Packed vectors of one dimension as double unit vectors. The first byte says the kind of the numbers after it."""
+    kind = np.dtype(KINDS[rows[0][0]]) if rows else np.dtype("<f4")
+    x = np.frombuffer(b"".join(r[1:] for r in rows), kind).reshape(len(rows), -1).astype(np.float64)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+#: Numbers of packed vectors: tables of floats are kept as they are, all others as doubles.
+KINDS = {4: "<f4", 8: "<f8"}
+
+
+def dimension(vec: bytes) -> int:
+    return (len(vec) - 1) // vec[0]
+
+
 def _pack(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """vec_id, vec: bytes of 32-bit floats, null where the vector cannot be compared."""
+    """vec_id, vec: the packed vector, null where it cannot be compared."""
+    size = 4 if dict(vectors.dtypes)[vector_col] == "array<float>" else 8
+    head, kind = bytes([size]), KINDS[size]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for v in batch.column(1):
-                x = None if not v.is_valid or v.values.null_count else np.asarray(v.values.to_numpy(zero_copy_only=False), "<f4")
-                out.append(x.tobytes() if x is not None and len(x) and np.isfinite(x).all() and x.any() else None)
+                x = None if not v.is_valid or v.values.null_count else np.asarray(v.values.to_numpy(zero_copy_only=False), kind)
+                out.append(head + x.tobytes() if x is not None and len(x) and np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vec"])
 
-    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v")).where("vec_id is not null").mapInArrow(run, "vec_id long, vec binary")
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if size == 4 else "array<double>").alias("v")).mapInArrow(run, "vec_id long, vec binary")
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -74,7 +87,7 @@ def _blocks(nodes: DataFrame, count: int, k: int, tables: int, seed: int) -> Dat
             sizes = np.array([len(x) for x in vecs])
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
-                dim = int(size) // 4
+                dim = dimension(vecs[at[0]])
                 if dim not in planes:
                     planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
                 signs = (unit([vecs[i] for i in at]) @ planes[dim] > 0).reshape(len(at), tables, bits)
@@ -281,7 +294,8 @@ def _true_links(sample: list, nodes: DataFrame, threshold: float) -> dict[int, i
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding", k: int = NEIGHBOURS) -> tuple[DataFrame, float]:
     """(vec_id, n_links, component_id) of every row, and the audited recall, which is AUDIT_RECALL at least."""
     packed, _ = materialize(_pack(vectors, id_col, vector_col), "embedding-vectors")
-    classes = packed.where("vec is not null").groupBy("vec").agg(F.min("vec_id").alias("v"), F.count("*").alias("n_rows"))
+    full = packed.where("vec is not null and vec_id is not null")
+    classes = full.groupBy("vec").agg(F.min("vec_id").alias("v"), F.count("*").alias("n_rows"))
     nodes, _ = materialize(classes, "embedding-classes")
     count = nodes.count()
     graph, recall, counted = None, 0.0, None
@@ -305,15 +319,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, id_col: st
         k *= 2
     else:
         raise RuntimeError(f"the audited recall is {recall:.4f} after {ROUNDS} rounds, {AUDIT_RECALL} is asked for")
-    members = nodes.select("vec", "v", "n_rows").join(counted, "v", "left")
-    out = packed.join(members, "vec", "left")
-    return out.select(
-        "vec_id",
-        F.coalesce(F.col("n_rows") - 1 + F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "v", "vec_id").alias("component_id"),
-    ), recall
+    known = nodes.join(counted, "v", "left").select("vec", "n_rows", (F.col("n_rows") - 1 + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component", "v").alias("component_id"))
+    known, _ = materialize(known, "embedding-known")
+    members = join_dealt(full, known, ["vec"], "vec_id", n="n_rows").select("vec_id", "n_links", "component_id")
+    rest = packed.where("vec is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return members.unionByName(rest), recall
 
 
 def op9_nn_descent(spark, sf_dir: str) -> DataFrame:
     found, _ = near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    return found.withColumn("kept", F.col("component_id") == F.col("vec_id"))
+    return found.withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))
