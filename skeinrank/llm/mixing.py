@@ -11,7 +11,8 @@ Cases: a null or empty text has no words and the posteriors of the offsets alone
 read whole; rows with a null id and repeated rows have rates like any; a domain without labelled documents has posterior
 0, and its target cannot be met (the fit ends at the nearest totals); without labels nothing is known, all posteriors are
 equal and all rates are 1; an empty table gives
-an empty result; columns named as this module's results are replaced.
+an empty result; in tables of posteriors, columns named as the results are replaced, and mixed documents have all their
+columns as they were.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from ._common import LOWER, materialize, slices, text_buffers, word_hashes, word_spans
+from ._common import LOWER, fresh, materialize, slices, text_buffers, word_hashes, word_spans
 from ._labelled import FIT_ROWS, with_labels
 
 BUCKETS = 1 << 16
@@ -105,8 +106,8 @@ def softmax_regression(x: np.ndarray, label: np.ndarray, domains: int, rounds: i
 
 def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, domains: int, id_col: str = "doc_id", text_col: str = "text", bound: int = FIT_ROWS) -> DomainModel:
     """From at most bound labelled documents; FEATURES bits of each come to the driver."""
-    marked = with_labels(docs.select(id_col, text_col), labels, domain, id_col, bound).where("_label is not null")
-    marked, _ = materialize(marked.select(F.col(text_col).alias("_text"), F.col("_label").cast("int")), "mixing-labelled")
+    marked = with_labels(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, domain, "doc_id", bound).where("_label is not null")
+    marked, _ = materialize(marked.select("text", F.col("_label").cast("int")), "mixing-labelled")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((domains, BUCKETS), np.int64)
@@ -140,9 +141,9 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: Column, domains: int
     return DomainModel(weights, slots, offsets, len(rows))
 
 
-def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all without it), n_tokens (words) and posteriors (array of double)."""
-    keep = [c for c in (keep or docs.columns) if c not in ("n_tokens", "posteriors")]
+def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("n_tokens", "posteriors")) -> DataFrame:
+    """The columns keep (all without it), the number of words and the posteriors (array of double) under their names."""
+    keep = [c for c in (keep or docs.columns) if c not in names]
     n, weights, slots, offsets = len(keep), model.weights, model.slots, model.offsets
     domains = len(offsets)
 
@@ -157,17 +158,17 @@ def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text", keep
             p = np.exp(p - p.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, domains), pa.int32()), pa.array(p.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(tokens), lists], names=[*keep, "n_tokens", "posteriors"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(tokens), lists], names=[*keep, *names])
 
-    kinds = docs.select(*keep).schema.add("n_tokens", "long").add("posteriors", ArrayType(DoubleType()))
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, kinds)
+    kinds = docs.select(*keep).schema.add(names[0], "long").add(names[1], ArrayType(DoubleType()))
+    return docs.select(*keep, F.col(text_col).alias(fresh("text", docs))).mapInArrow(run, kinds)
 
 
-def rate(steps: list[np.ndarray]) -> Column:
+def rate(steps: list[np.ndarray], name: str = "posteriors") -> Column:
     """The rate after the steps: from 1, each moves along the posteriors and is cut at 0."""
     r = F.lit(1.0)
     for v in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.col("posteriors")[d] * float(v[d]) for d in range(len(v))), F.lit(0.0)))
+        r = F.greatest(F.lit(0.0), r - sum((F.col(name)[d] * float(v[d]) for d in range(len(v))), F.lit(0.0)))
     return r
 
 
@@ -246,10 +247,12 @@ def fit_mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] =
 
 def apply_mixture(docs: DataFrame, mixture: Mixture, id_col: str = "doc_id", text_col: str = "text", seed: int = 23) -> DataFrame:
     """docs with each row as often as its rate says: the whole part of rate + u, with u even in [0, 1) from the id."""
-    scored = posteriors(docs, mixture.model, text_col)
+    names = fresh("n_tokens", docs), fresh("posteriors", docs)
+    times, copy = fresh("times", docs), fresh("copy", docs)
+    scored = posteriors(docs, mixture.model, text_col, names=names)
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11).cast("double") / float(1 << 53)
-    times = scored.withColumn("_times", F.floor(rate(mixture.steps) + u).cast("int")).where("_times > 0")
-    return times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    counted = scored.withColumn(times, F.floor(rate(mixture.steps, names[1]) + u).cast("int")).where(F.col(times) > 0)
+    return counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op3_soft_mixing(spark, sf_dir: str) -> DataFrame:

@@ -7,8 +7,8 @@ documents whose log weight reaches the cut that separates the labelled sample be
 
 Cases: a null or empty text has no n-grams and log weight 0; texts are read whole; rows with a null id take part with the
 noise of id null; repeated rows have equal sums and equal fates, so ties at the threshold are all kept; without any
-labelled good document all log weights are 0 and all documents are kept; an empty table gives an empty result; columns
-named as this module's results are replaced.
+labelled good document all log weights are 0 and all documents are kept; an empty table gives an empty result; in tables
+of scores, columns named as the results are replaced, and the sampled documents have all their columns as they were.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, materialize, mix, slices, text_buffers, word_hashes, word_spans
+from ._common import LOWER, fresh, materialize, mix, slices, text_buffers, word_hashes, word_spans
 from ._labelled import FIT_ROWS, kth_largest, with_labels
 
 BUCKETS = 1 << 14
@@ -97,12 +97,12 @@ class QualityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = FIT_ROWS) -> QualityModel:
     """labels: doc_id and quality (1: good). At most bound labelled documents serve, all documents make the raw model."""
-    marked = with_labels(docs.select(id_col, text_col), labels, F.col("quality").cast("int"), id_col, bound)
-    target, raw = count_models(marked, text_col)
+    marked = with_labels(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, F.col("quality").cast("int"), "doc_id", bound)
+    target, raw = count_models(marked)
     if not target.sum():
         return QualityModel(np.zeros(BUCKETS), float("-inf"))
     ratio = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
-    seen = log_weights(marked.where("_label is not null"), QualityModel(ratio, 0.0), text_col, ["_label"]).select("_label", "log_weight").collect()
+    seen = log_weights(marked.where("_label is not null"), QualityModel(ratio, 0.0), "text", ["_label"]).select("_label", "log_weight").collect()
     return QualityModel(ratio, best_cut(np.array([r.log_weight for r in seen]), np.array([r._label for r in seen]) == 1))
 
 
@@ -118,9 +118,9 @@ def best_cut(weights: np.ndarray, good: np.ndarray) -> float:
     return float(w[0] - 1 if at == 0 else w[-1] + 1 if at == len(w) else (w[at - 1] + w[at]) / 2)
 
 
-def log_weights(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep (all without it) and log_weight."""
-    keep = [c for c in (keep or docs.columns) if c != "log_weight"]
+def log_weights(docs: DataFrame, model: QualityModel, text_col: str = "text", keep: list[str] | None = None, name: str = "log_weight") -> DataFrame:
+    """The columns keep (all without it) and the log weight under its name."""
+    keep = [c for c in (keep or docs.columns) if c != name]
     ratio = model.log_ratio
     n = len(keep)
 
@@ -129,10 +129,10 @@ def log_weights(docs: DataFrame, model: QualityModel, text_col: str = "text", ke
             weights = np.zeros(batch.num_rows)
             for lo, hi, bucket, row in _parts(batch, n):
                 weights[lo:hi] = np.bincount(row, ratio[bucket], hi - lo)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(weights)], names=[*keep, "log_weight"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(weights)], names=[*keep, name])
 
-    kinds = docs.select(*keep).schema.add("log_weight", "double")
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, kinds)
+    kinds = docs.select(*keep).schema.add(name, "double")
+    return docs.select(*keep, F.col(text_col).alias(fresh("text", docs))).mapInArrow(run, kinds)
 
 
 def gumbel(id_col: str, seed: int = 17) -> Column:
@@ -155,8 +155,9 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, seed: int = 17) -> DataFrame:
     """The sampled documents, with their columns. They are scored again rather than joined with their scores, so no text is shuffled."""
     _, threshold, model = resample(docs, labels, id_col, text_col, k, seed)
-    scored = log_weights(docs, model, text_col)
-    return scored.where(F.col("log_weight") + gumbel(id_col, seed) >= F.lit(threshold)).select(*docs.columns)
+    weight = fresh("log_weight", docs)
+    scored = log_weights(docs, model, text_col, name=weight)
+    return scored.where(F.col(weight) + gumbel(id_col, seed) >= F.lit(threshold)).select(*docs.columns)
 
 
 def op10_quality_resampling(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ strings). The values are learned whole. One automaton is learned from credential
 of its log likelihoods.
 
 Cases: a null or empty text has no spans; texts are read whole; repeated rows are scanned alike, rows with a null id too;
-spans that start together come in the order of the kinds; an empty table gives an empty result; other columns stay.
+spans that start together come in the order of the kinds; an empty table gives an empty result; other columns stay, but
+those named as the results of a scan are replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import fresh
+
 #: The fixed patterns (fixed values), with the least length of what is judged.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -272,7 +275,7 @@ def scan(docs: DataFrame, model: FormatModel, text_col: str = "text", keep: list
     kinds = docs.select(*keep).schema
     for name in own:
         kinds = kinds.add(name, "long" if name.startswith("n_") else "string")
-    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, kinds)
+    return docs.select(*keep, F.col(text_col).alias(fresh("text", docs))).mapInArrow(run, kinds)
 
 
 def redact(docs: DataFrame, model: FormatModel, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
