@@ -5,13 +5,16 @@ filters compare sums of areas of the frame-by-class image, taken from its integr
 bits, so every place of the image has one 32-bit integer. Two recordings are aligned by the offset at which most of their
 equal integers fall together, and judged by the share of differing bits there.
 
-Search: of every run of SPARSE integers the smallest is indexed, at every place where it is chosen, so any equal stretch
-of that length is met wherever it lies. Every offset with enough equal integers is judged. Recordings with equal fingerprints are one class from the start.
+Search: every integer of every query at every place is indexed, and each recording is looked up whole, so no alignment
+is lost to the index: all offsets of a pair at which enough integers are equal are judged. The queries come in blocks of
+bounded bytes, each of which is compared with all recordings; only matches leave a task, one row for each recording.
+Recordings with equal fingerprints are one class from the start.
 
 Cases: a null or empty payload and one shorter than the filters' reach have no integers and match nothing but count as
 rows; payloads of any length are read whole; silence has the integers of a flat image; rows with a null id are
-fingerprinted but take no part in the search; an id that repeats with the same payload is one recording; ties between
-alignments go to the smaller offset, then the smaller query id; an empty table gives an empty result.
+fingerprinted but take no part in the search; rows that repeat an id are recordings of their own, in one class if their
+payloads are equal; ties between alignments go to the smaller offset, then the smaller query class; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +26,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, mix
+from ._common import fresh, join_dealt, materialize
 
 RATE, FRAME, HOP = 8000, 256, 64
-CLASSES, WIDTH, SPARSE = 12, 8, 4
-LOWEST, HIGHEST = 110.0, 3520.0
+CLASSES, WIDTH = 12, 8
+#: C5 to B7: a frame's bins, 31.25 Hz wide, tell semitones apart from about 525 Hz on.
+LOWEST, HIGHEST = 523.25, 3951.07
+#: Share of differing bits up to which recordings match. Measured on melodies of random notes of the band: copies with
+#: noise of a fifth of their amplitude differ in 0.22 at most, unrelated ones (with shared notes) at their best offset in 0.28.
+MOST_ERRORS = 0.25
+#: Bytes of the fingerprints of the queries that are compared with all recordings at once.
+QUERY_BYTES = 8 << 20
 #: Bounds between the four levels of a comparison: log ratios of the two areas.
 LEVELS = (-0.25, 0.0, 0.25)
 #: Two bits for each level so that neighbours differ in one.
@@ -97,18 +106,6 @@ def fingerprint(image: np.ndarray) -> np.ndarray:
     return out
 
 
-def sparse(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The indexed integers and their places: of each run of SPARSE the one with the smallest hash."""
-    if not len(fp):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = mix(fp.astype(np.uint64))
-    runs = np.lib.stride_tricks.sliding_window_view(h, min(SPARSE, len(h)))
-    smallest = runs.min(1)
-    # All places of a run that have its smallest hash, so that equal stretches choose alike whatever is around them.
-    chosen = np.unique(np.concatenate([np.flatnonzero(h[j : j + len(runs)] == smallest) + j for j in range(runs.shape[1])]))
-    return fp[chosen].astype(np.int64), chosen
-
-
 def offsets(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct differences of a place in a and one in b, and how many pairs have each."""
     if len(a) * len(b) <= 1 << 16:
@@ -157,81 +154,141 @@ def align(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[int, float]:
     return n, float(np.bitwise_count(x).sum()) / (32 * n)
 
 
-def search(prints: DataFrame, is_query: Column, most_errors: float = 0.35, least_hits: int = 2) -> DataFrame:
-    """prints (of fingerprints()) with class_id, the smallest id with the same fingerprint, and matches: for every query
-    (row where is_query holds) of another class that aligns with it, by class, (match_class, match_offset, match_hits,
-    match_overlap, match_bit_errors). An alignment needs least_hits equal indexed integers and most_errors at most; of a
-    pair's alignments the one with most hits is given, of equal ones that with the smaller offset. The columns of these
-    names beside it are the best match; null, and matches empty, without one."""
-    classes = prints.where("n_items > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("class_id"), F.max(is_query.cast("int")).alias("asked"))
-    classes, _ = materialize(classes, "chroma-classes")
-
-    def index(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, asked = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            value, places, row = [], [], []
-            for i, fp in enumerate(batch.column(2)):
-                v, p = sparse(np.frombuffer(fp.as_buffer(), "<u4"))
-                order = np.argsort(v, kind="stable")
-                distinct, first = np.unique(v[order], return_index=True)
-                value.append(distinct)
-                places += np.split(p[order], first[1:]) if len(v) else []
-                row.append(np.full(len(distinct), i))
-            if row:
-                at = np.concatenate(row)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value)), pa.array(places, pa.list_(pa.int64())), pa.array(ids[at]), pa.array(asked[at])], names=["item", "places", "class_id", "asked"])
-
-    postings = classes.select(F.col("class_id").cast("long"), "asked", "fp").mapInArrow(index, "item long, places array<long>, class_id long, asked int")
-    postings, _ = materialize(postings, "chroma-postings")
-    asked = postings.where("asked = 1").select("item", F.col("places").alias("q_places"), F.col("class_id").alias("q"))
-    met = postings.select("item", "places", "class_id").join(asked, "item").where("q <> class_id").select("q", "class_id", "q_places", "places")
-
-    # An integer's places in a pair are counted by offset here, so one that is everywhere makes no row for each two places.
-    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["q", "class_id", "offset", "hits"]
-        for batch in batches:
-            q_offs, offs = (batch.column(k).offsets.to_numpy() for k in (2, 3))
-            q_places, places = (batch.column(k).values.to_numpy() for k in (2, 3))
-            single = (np.diff(q_offs) == 1) & (np.diff(offs) == 1)
-            at = np.flatnonzero(single)
-            if len(at):
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in (0, 1)), pa.array(q_places[q_offs[at]] - places[offs[at]]), pa.array(np.ones(len(at), np.int64))], names=names)
-            q, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for i in np.flatnonzero(~single):
-                found, n = offsets(q_places[q_offs[i] : q_offs[i + 1]], places[offs[i] : offs[i + 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), q[i])), pa.array(np.full(len(found), c[i])), pa.array(found), pa.array(n)], names=names)
-
-    counts = met.mapInArrow(count, "q long, class_id long, offset long, hits long")
-    histogram = counts.groupBy("q", "class_id", "offset").agg(F.sum("hits").alias("hits")).where(F.col("hits") >= least_hits)
-    peaks = histogram.groupBy("q", "class_id").agg(F.collect_list(F.struct("offset", "hits")).alias("peaks"))
-    whole = classes.select("class_id", "fp")
-    pairs = peaks.join(whole.select(F.col("class_id").alias("q"), F.col("fp").alias("q_fp")), "q").join(whole, "class_id")
-
-    def judge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for q, c, peaks, q_fp, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4), strict=True):
-                a, b = np.frombuffer(q_fp.as_buffer(), "<u4"), np.frombuffer(fp.as_buffer(), "<u4")
-                offset, hits = (peaks.values.field(k).to_numpy() for k in (0, 1))
-                for i in np.lexsort((offset, -hits)):  # the first that passes is the best
-                    overlap, errors = align(a, b, int(offset[i]))
-                    if errors <= most_errors:
-                        rows.append((q, c, int(hits[i]), int(offset[i]), overlap, errors))
-                        break
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in columns[:5]), pa.array(columns[5], pa.float64())], names=["q", "class_id", "hits", "offset", "overlap", "errors"])
-
-    judged = pairs.select("q", "class_id", "peaks", "q_fp", "fp").mapInArrow(judge, "q long, class_id long, hits long, offset long, overlap long, errors double")
-    match = F.struct(F.col("q").alias("match_class"), F.col("offset").alias("match_offset"), F.col("hits").alias("match_hits"), F.col("overlap").alias("match_overlap"), F.round("errors", 9).alias("match_bit_errors"))
-    best = F.max_by(match, F.struct("hits", -F.col("errors"), -F.col("q")))
-    matched = judged.groupBy("class_id").agg(best.alias("best"), F.array_sort(F.collect_list(match)).alias("matches"))
-    out = prints.join(classes.select("fp", "class_id"), "fp", "left").join(matched, "class_id", "left")
-    fields = ("match_class", "match_offset", "match_hits", "match_overlap", "match_bit_errors")
-    return out.select(*prints.columns, F.coalesce("class_id", "id").alias("class_id"), *[F.col(f"best.{f}").alias(f) for f in fields], F.coalesce("matches", F.array().cast(out.schema["matches"].dataType)).alias("matches"))
+class QueryBlock:
+    """The integers of some queries, in order, with the query and the place of each."""
+
+    #: Pairs of equal integers that are held at once; a recording with more is compared with one query at a time.
+    HELD = 1 << 21
+
+    def __init__(self, names: list[int], classes: list[int], prints: list[bytes]):
+        self.names, self.classes = np.array(names, np.int64), classes
+        self.prints = [np.frombuffer(p, "<u4") for p in prints]
+        sizes = np.array([len(p) for p in self.prints], np.int64)
+        items = np.concatenate(self.prints) if prints else np.zeros(0, np.uint32)
+        order = np.argsort(items, kind="stable")
+        self.items, self.query = items[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+        self.place = (np.arange(len(items)) - np.repeat(np.cumsum(sizes) - sizes, sizes))[order]
+
+    def peaks(self, prints: list[np.ndarray], least_hits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Recording, query, offsets with at least least_hits equal integers, and their hits."""
+        at = 0
+        sizes = [len(p) for p in prints]
+        items = np.concatenate(prints) if prints else np.zeros(0, np.uint32)
+        lows, highs = np.searchsorted(self.items, items, "left"), np.searchsorted(self.items, items, "right")
+        ends = np.cumsum([0, *sizes])
+        met = np.concatenate([[0], np.cumsum(highs - lows)])[ends]
+        while at < len(prints):
+            end = max(at + 1, int(np.searchsorted(met, met[at] + self.HELD, "right")) - 1)
+            if met[end] - met[at] > self.HELD:
+                yield from self._one_by_one(at, prints[at], lows[ends[at] : ends[end]], highs[ends[at] : ends[end]], least_hits)
+            elif met[end] > met[at]:
+                lo, n = lows[ends[at] : ends[end]], (highs - lows)[ends[at] : ends[end]]
+                row = np.repeat(np.arange(at, end), sizes[at:end])
+                place = np.arange(ends[at], ends[end]) - ends[row]
+                found = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                pair = np.repeat(row, n) * len(self.prints) + self.query[found]
+                key, hits = np.unique((pair << 32) + (self.place[found] - np.repeat(place, n) + (1 << 31)), return_counts=True)
+                yield from self._grouped(key[hits >= least_hits], hits[hits >= least_hits])
+            at = end
+
+    def _grouped(self, key: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        pair, offset = key >> 32, (key & 0xFFFFFFFF) - (1 << 31)
+        cuts = np.flatnonzero(np.append(True, pair[1:] != pair[:-1])) if len(pair) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(pair)], strict=True):
+            yield int(pair[lo]) // len(self.prints), int(pair[lo]) % len(self.prints), offset[lo:hi], hits[lo:hi]
+
+    def _one_by_one(self, row: int, fp: np.ndarray, lows: np.ndarray, highs: np.ndarray, least_hits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """An integer that is everywhere is counted by offset, so it makes no entry for each two places."""
+        known = {}
+        for i in np.flatnonzero(highs > lows):
+            known.setdefault(int(fp[i]), (lows[i], highs[i], []))[2].append(i)
+        by_query: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for lo, hi, places in known.values():
+            query, place = self.query[lo:hi], self.place[lo:hi]  # in order, as the sort was stable
+            cuts = np.flatnonzero(np.append(True, query[1:] != query[:-1]))
+            for a, b in zip(cuts, [*cuts[1:], len(query)], strict=True):
+                by_query.setdefault(int(query[a]), []).append((place[a:b], np.array(places)))
+        for q, both in sorted(by_query.items()):
+            total = np.zeros(len(self.prints[q]) + len(fp), np.int64)
+            for x, y in both:
+                offset, n = offsets(x, y)
+                total[offset + len(fp)] += n
+            found = np.flatnonzero(total >= least_hits)
+            if len(found):
+                yield row, q, found - len(fp), total[found]
+
+    def matches(self, names: np.ndarray, prints: list[np.ndarray], least_hits: int, least_overlap: int, most_errors: float) -> dict[int, list[dict]]:
+        """For each recording the match of every query of another class that aligns with it."""
+        out: dict[int, list[dict]] = {}
+        for i, q, offset, hits in self.peaks(prints, least_hits):
+            if self.names[q] == names[i]:
+                continue
+            a, b = self.prints[q], prints[i]
+            overlap = np.minimum(len(a) - np.maximum(offset, 0), len(b) + np.minimum(offset, 0))
+            offset, hits = offset[overlap >= least_overlap], hits[overlap >= least_overlap]
+            for j in np.lexsort((offset, -hits)):  # the first that passes is the best
+                n, errors = align(a, b, int(offset[j]))
+                if errors <= most_errors:
+                    out.setdefault(i, []).append({"match_class": self.classes[q], "match_offset": int(offset[j]), "match_hits": int(hits[j]), "match_overlap": n, "match_bit_errors": round(errors, 9)})
+                    break
+        return out
+
+
+MATCH = "match_class long, match_offset long, match_hits long, match_overlap long, match_bit_errors double"
+
+
+def search(prints: DataFrame, is_query: Column, most_errors: float = MOST_ERRORS, least_hits: int = 2, least_overlap: int = 8, block_bytes: int = QUERY_BYTES) -> DataFrame:
+    """prints (of fingerprints()) with class_id, the smallest id with the same fingerprint, and matches: for every class of
+    queries (rows where is_query holds) but its own that aligns with it, (match_class, match_offset, match_hits,
+    match_overlap, match_bit_errors). An alignment needs least_hits equal integers, an overlap of least_overlap places and
+    a share of most_errors differing bits at most; of a pair's alignments the one with most hits is given, of equal ones
+    that with the smaller offset. n_matches counts them, and the columns of these names beside it are the best match; null,
+    and matches empty, without one. Fingerprints are told apart by their length and 96 bits of hashes."""
+    spark = prints.sparkSession
+    key = ["n_items", "fp_crc32", fresh("fp_hash", prints)]
+    hashed = prints.withColumn(key[2], F.xxhash64("fp"))
+    heard = F.col("n_items") > 0
+    full = hashed.where(heard & F.col("id").isNotNull())
+    classes = full.groupBy(*key).agg(F.min("id").alias("class_id"), F.max(is_query.cast("int")).alias("asked"), F.first("fp").alias("fp"), F.count("*").alias("n"))
+    classes, _ = materialize(classes.withColumn("cls", F.xxhash64(*key)), "chroma-classes")
+
+    queries = classes.where("asked = 1").select("cls", F.col("class_id").cast("long").alias("class_id"), "fp")
+    # A query counts as 64 bytes at least, so the number of a block's queries is bounded too.
+    blocks = -(-(queries.agg(F.sum(F.greatest(F.octet_length("fp"), F.lit(64)))).first()[0] or 0) // block_bytes)
+    found = []
+    for b in range(blocks):  # each block has about block_bytes, and is all that comes to the driver
+        rows = queries.where(F.pmod(F.xxhash64(F.lit(3), "cls"), F.lit(blocks)) == b).collect()
+        block = QueryBlock([r.cls for r in rows], [r.class_id for r in rows], [bytes(r.fp) for r in rows])
+
+        def compare(batches: Iterable[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            kind = pa.list_(pa.struct([(name, pa.float64() if kind == "double" else pa.int64()) for name, kind in map(str.split, MATCH.split(", "))]))
+            for batch in batches:
+                names, column = batch.column(0).to_numpy(), batch.column(1)
+                got = block.matches(names, [np.frombuffer(fp.as_buffer(), "<u4") for fp in column], least_hits, least_overlap, most_errors)
+                yield pa.RecordBatch.from_arrays([pa.array(names[list(got)] if got else [], pa.int64()), pa.array(list(got.values()), kind)], names=["cls", "found"])
+
+        found.append(materialize(classes.select("cls", "fp").mapInArrow(compare, f"cls long, found array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>"), "chroma-matches")[0])
+    known = classes.drop("fp", "asked")
+    if found:
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
+        known = known.join(every.groupBy("cls").agg(F.array_sort(F.flatten(F.collect_list("found"))).alias("matches")), "cls", "left")
+    else:
+        known = known.withColumn("matches", F.lit(None).cast(f"array<struct<{MATCH.replace(' ', ':').replace(',:', ',')}>>"))
+    worth = lambda m: F.struct(m["match_hits"].alias("a"), (-m["match_bit_errors"]).alias("b"), (-m["match_class"]).alias("c"), m.alias("match"))
+    best = F.array_max(F.transform("matches", worth))["match"]
+    known, _ = materialize(known.withColumn("best", best).drop("cls"), "chroma-known")
+    own = prints.columns
+    joined = join_dealt(full, known, key, "id")
+    fields = [f.split()[0] for f in MATCH.split(", ")]
+    extra = [F.when(F.col("matches").isNull(), 0).otherwise(F.size("matches")).cast("long").alias("n_matches"), *[F.col(f"best.{f}").alias(f) for f in fields], F.coalesce("matches", F.array().cast(known.schema["matches"].dataType)).alias("matches")]
+    rest = hashed.where(~heard | F.col("id").isNull()).withColumns({"class_id": F.col("id"), "matches": F.lit(None).cast(known.schema["matches"].dataType), "best": F.lit(None).cast(known.schema["best"].dataType)})
+    return joined.select(*own, "class_id", *extra).unionByName(rest.select(*own, "class_id", *extra))
 
 
 def op1_chroma_fingerprints(spark, sf_dir: str) -> DataFrame:
     """No table holds sound, so the UTF-8 bytes of each text serve as 8-bit samples; ids divisible by 100 are the queries."""
     prints, _ = materialize(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"), "chroma-prints")
     found = search(prints, F.col("id") % 100 == 0)
-    return found.select(F.col("id").alias("doc_id"), "n_frames", "n_items", "fp_crc32", "class_id", "match_class", "match_offset", "match_hits", "match_overlap", "match_bit_errors", "matches")
+    return found.select(F.col("id").alias("doc_id"), "n_frames", "n_items", "fp_crc32", "class_id", "n_matches", "match_class", "match_offset", "match_hits", "match_overlap", "match_bit_errors", "matches")
