@@ -72,26 +72,64 @@ def test_minhash(docs, nothing):
     for text in TEXTS:
         w = words_of((text or "").encode().translate(lower).decode())
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
-    component = list(range(len(sets)))
-    for _ in sets:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets[:i]):
-                if a and b and 100 * len(a & b) >= 85 * len(a | b):
-                    component[i] = component[j] = min(component[i], component[j])
+    component = components_of(sets, 85)
     got = {r.doc_id: r for r in minhash_dedup.near_duplicates(docs).collect()}
     assert [(got[i].n_shingles, got[i].component_id) for i in range(len(sets))] == [(len(s), c) for s, c in zip(sets, component, strict=True)]
     assert minhash_dedup.near_duplicates(nothing).count() == 0
 
 
-def test_index_meets_all_within_its_distance():
+@pytest.mark.parametrize("percent, limit", [(85, 17), (80, 20)])
+def test_index_meets_all_within_its_distance(percent, limit):
+    assert minhash_dedup.distance_limit(percent / 100) == limit
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        a = rng.integers(0, 1 << 16, minhash_dedup.VALUES).astype(np.uint16)
-        b = a.copy()
-        at = rng.choice(minhash_dedup.VALUES, 2 * minhash_dedup.CHUNKS - 1, replace=False)
-        b[at] += np.uint16(1)
-        keys = minhash_dedup.index_keys(np.stack([a, b]))
-        assert (keys[0] == keys[1]).any()
+    a = rng.integers(0, 1 << 16, (5000, minhash_dedup.VALUES)).astype(np.uint16)
+    b = a.copy()
+    for row in b:
+        row[rng.choice(minhash_dedup.VALUES, limit, replace=False)] += np.uint16(1)
+    assert (minhash_dedup.index_keys(a, limit) == minhash_dedup.index_keys(b, limit)).any(1).all()
+    # The worst spread: each chunk has its allowed errors, one chunk one more.
+    choices = minhash_dedup.index_choices(limit)
+    allowed = [max(len(gone) for c, gone in choices if c == chunk) for chunk in range(minhash_dedup.CHUNKS)]
+    assert sum(allowed) + minhash_dedup.CHUNKS - 1 == limit
+
+
+def components_of(sets, percent):
+    component = list(range(len(sets)))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and 100 * len(a & b) >= percent * len(a | b)]
+    for _ in sets:
+        for i, j in links:
+            component[i] = component[j] = min(component[i], component[j])
+    return component
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_minhash_blocks(spark, monkeypatch, percent):
+    # Texts that share their start lie in the same buckets; blocks of few rows, so large buckets are compared block by block.
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 8)
+    rng = random.Random(11)
+    texts = []
+    for family in range(6):
+        base = [f"w{family}x{i}" for i in range(100)]
+        for _ in range(40):
+            words = list(base)
+            for _ in range(rng.choice((0, 1, 2, 3, 5, 9))):
+                words[rng.randrange(100)] = f"z{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    common = " ".join(f"c{i}" for i in range(60))
+    texts += [common + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(25)) for _ in range(60)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(table, percent).collect()}
+    assert [got[i] for i in range(len(texts))] == components_of(sets, percent)
+
+
+def test_minhash_repeated_and_null_ids(spark):
+    other = prose(50)
+    rows = [(7, BASE), (7, other), (9, other), (3, BASE), (None, BASE), (None, None), (9, None), (5, "")]
+    got = sorted(map(tuple, minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    n = len(set(zip(*[BASE.split()[i:] for i in range(5)], strict=False)))
+    m = len(set(zip(*[other.split()[i:] for i in range(5)], strict=False)))
+    assert got == sorted([(7, n, 3), (7, m, 7), (9, m, 7), (3, n, 3), (None, n, None), (None, 0, None), (9, 0, 9), (5, 0, 5)], key=str)
 
 
 def test_packing(docs, nothing):
@@ -336,7 +374,7 @@ def test_embeddings_audit(spark, monkeypatch):
     # Of 4000 vectors 20 have a near copy; half of these links were not counted.
     x = np.random.default_rng(9).standard_normal((4000, 16)).astype("<f4")
     x[4::400] = x[0::400] * 1.01 + 0.001
-    nodes = spark.createDataFrame([(i, bytes(v.tobytes()), 1) for i, v in enumerate(x)], "v long, vec binary, n_rows long")
+    nodes = spark.createDataFrame([(i, b"\x04" + v.tobytes(), 1) for i, v in enumerate(x)], "v long, vec binary, n_rows long")
     counted = spark.createDataFrame([(i, 0, 1) for k in range(0, 4000, 800) for i in (k, k + 4)], "v long, component long, n long")
     assert embedding_dedup._audit(counted, nodes, 4000, 0.95) == 0.5
     # A recall that is not reached is no result.
@@ -350,7 +388,7 @@ def test_chroma(spark):
     rng = np.random.default_rng(2)
     t = np.arange(3 * chroma.RATE) / chroma.RATE
     song = lambda notes: np.concatenate([np.sin(2 * np.pi * f * t[:800]) for f in notes])
-    one, other = song(rng.choice([220, 247, 262, 294, 330, 349, 392, 440], 24)), song(rng.choice([233, 277, 311, 370, 415, 466, 523, 587], 24))
+    one, other = song(4 * rng.choice([220, 247, 262, 294, 330, 349, 392, 440], 24)), song(4 * rng.choice([233, 277, 311, 370, 415, 466, 523, 587], 24))
     pcm = lambda x: np.clip(x * 100 + 128, 0, 255).astype(np.uint8).tobytes()
     shifted = np.concatenate([np.zeros(chroma.HOP * 5), one]) + 0.01 * rng.standard_normal(len(one) + chroma.HOP * 5)
     rows = [(0, pcm(one)), (1, pcm(shifted)), (2, pcm(other)), (3, pcm(one)), (4, None), (5, b""), (6, b"short"), (7, b"\x80" * 4000)]
@@ -388,3 +426,174 @@ def test_chroma_finds_a_later_occurrence(spark):
     assert (got[1].match_offset, got[1].match_overlap, got[1].match_bit_errors) == (-140, 110, 0.0)
     a, b = np.sort(rng.choice(5000, 400, False)), np.sort(rng.choice(5000, 300, False))
     assert all((x == y).all() for x, y in zip(chroma.offsets(a, b), np.unique(np.subtract.outer(a, b), return_counts=True), strict=True))
+
+
+@pytest.mark.parametrize("block_bytes, held", [(8 << 20, 1 << 21), (600, 40)])
+def test_chroma_against_brute_force(spark, monkeypatch, block_bytes, held):
+    monkeypatch.setattr(chroma.QueryBlock, "HELD", held)
+    rng = np.random.default_rng(12)
+    songs = [rng.integers(0, 1 << 32, rng.integers(5, 120), dtype=np.uint32) for _ in range(12)]
+    prints = []
+    for i in range(60):
+        x = songs[rng.integers(12)].copy()
+        x ^= np.where(rng.random(len(x)) < 0.7, 1 << rng.integers(0, 32, len(x)), 0).astype(np.uint32)  # one equal integer in three
+        x = np.concatenate([rng.integers(0, 1 << 32, rng.integers(0, 9), dtype=np.uint32), x[rng.integers(0, 4) :]])
+        prints.append(np.repeat(x[:3], 30) if i % 15 == 14 else x)
+    prints += [prints[0], prints[1], np.zeros(0, np.uint32)]
+    got = {r.id: r for r in chroma.search(prints_of(spark, prints), F.col("id") % 5 == 0, block_bytes=block_bytes).collect()}
+    first = [min(j for j, y in enumerate(prints) if y.tobytes() == x.tobytes()) for x in prints]
+    asked = sorted({first[i] for i in range(0, len(prints), 5)})
+    for i, x in enumerate(prints):
+        want = []
+        for q in asked:
+            a = prints[q]
+            best = None
+            for offset in range(-len(x) + 1, len(a)) if first[i] != q and len(x) else ():
+                n = min(len(a) - max(0, offset), len(x) - max(0, -offset))
+                hits = int((a[max(0, offset) :][:n] == x[max(0, -offset) :][:n]).sum())
+                if n >= 8 and hits >= 2 and (errors := chroma.align(a, x, offset)[1]) <= chroma.MOST_ERRORS and (best is None or hits > best[2]):
+                    best = (q, offset, hits, n, round(errors, 9))
+            want += [best] if best else []
+        assert [tuple(m) for m in got[i].matches] == sorted(want) and got[i].n_matches == len(want), i
+        assert got[i].class_id == (first[i] if len(x) else i)
+        if want:
+            assert (got[i].match_class, got[i].match_hits) == min((-h, e, q, h) for q, _, h, _, e in want)[2:]
+    assert sum(len(r.matches) for r in got.values()) > 30
+
+
+def test_chroma_cases(spark):
+    schema = "id long, payload binary, class_id string"
+    rows = [(5, None, "x"), (5, b"", "y"), (None, b"abc" * 500, "z"), (3, b"abc" * 500, "w"), (3, b"abd" * 500, "v"), (9, b"abc" * 500, "u")]
+    table = spark.createDataFrame(rows, schema)
+    got = chroma.search(chroma.fingerprints(table, "id", "payload"), F.col("id") == 3).collect()
+    assert sorted((str(r.id), str(r.class_id)) for r in got) == [("3", "3"), ("3", "3"), ("5", "5"), ("5", "5"), ("9", "3"), ("None", "None")]
+    none = chroma.fingerprints(table.where("false"), "id", "payload")
+    assert chroma.search(none, F.col("id") == 3).count() == 0
+
+
+def test_embeddings_in_double_precision(spark):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal(8)
+    x = [[1e300, 1e300], [2e300, 2e300], [1e-60, 0.0], [1e-60, 1e-80], (base * 1e200).tolist(), (base * 1e-200).tolist(), (-base).tolist(), [1e308, -1e308]]
+    table = spark.createDataFrame([*enumerate(x), (None, x[0]), (9, x[7]), (9, x[7])], "vec_id long, embedding array<double>")
+    found, _ = embedding_dedup.near_duplicates(table)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(0, 1, 0), (1, 1, 0), (2, 1, 2), (3, 1, 2), (4, 1, 4), (5, 1, 4), (6, 0, 6), (7, 2, 7), (9, 2, 7), (9, 2, 7), (None, 0, None)], key=str)
+
+
+def test_embeddings_few_links_among_many(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 64)  # several blocks
+    x = np.random.default_rng(2).standard_normal((5000, 24)).astype(np.float32)
+    x[1:400:20] = x[0:400:20] + 0.05 * np.random.default_rng(3).standard_normal((20, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found, recall = embedding_dedup.near_duplicates(table)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.95), strict=True) if i < j}
+    got = {(r.component_id, r.vec_id) for r in found.where("component_id <> vec_id").collect()}
+    assert len(want) >= 18 and got == want and recall >= 0.99
+
+
+def test_substring_cases(spark):
+    rows = [(1, PASSAGE), (2, f"x {PASSAGE} y"), (2, BASE), (2, f"x {PASSAGE} y"), (3, f"{BASE} {BASE}"), (None, PASSAGE), (None, None), (4, None)]
+    got = substring_dedup.kept_digest(substring_dedup.find_repeats(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed) for r in got), key=str) == sorted([(1, 60, 0), (2, 62, 60), (2, 300, 0), (2, 62, 60), (3, 600, 600), (None, 60, 0), (None, 0, 0), (4, 0, 0)], key=str)
+
+
+CLASH = ["text_", "log_weight", "n_tokens", "posteriors", "times", "copy", "gone", "spans", "_row", "_url", "_features", "label", "_label", "_id", "url_"]
+
+
+def odd_table(spark, rows, kind="doc_id long, text string"):
+    """rows with extra columns that are named as operators' own might be."""
+    extra = ", ".join(f"{c} string" for c in CLASH)
+    return spark.createDataFrame([(*r, *(f"{c}!" for c in CLASH)) for r in rows], f"{kind}, {extra}")
+
+
+ODD = [(0, BASE), (0, BASE), (1, None), (2, ""), (None, BASE), (None, None), (3, prose(40)), (3, prose(40)), (4, " \n "), (5, "w " * 30_000), (6, "token=abcdEFGH12345678 " + "y" * 50_000)]
+
+
+def test_columns_stay_as_they_were(spark):
+    """Filters and rewriters of documents: nulls, empty and long texts, repeats, an empty table, clashing names."""
+    table = odd_table(spark, ODD)
+    labels = spark.createDataFrame([(0, 1, 0), (3, 1, 0), (5, 0, 1), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    model = secrets.fit(secrets.labelled_values())
+
+    def mixed(docs):
+        mixture, _ = mixing.fit_mixture(docs, labels)
+        return mixing.apply_mixture(docs, mixture)
+
+    for change in (lambda d: quality.keep_good(d, labels), lambda d: minhash_dedup.keep_first(d), lambda d: secrets.redact(d, model), mixed):
+        out = change(table)
+        assert out.columns == table.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}!" for r in rows for c in CLASH)
+        assert change(table.where("false")).count() == 0
+    assert quality.keep_good(table, labels.where("false")).count() == len(ODD)
+    assert sorted(str(r.doc_id) for r in minhash_dedup.keep_first(table).collect()) == sorted(str(r[0]) for r in ODD)
+    assert sum("[SECRET]" in (r.text or "") for r in secrets.redact(table, model).collect()) == 1
+
+
+def test_scores_of_odd_tables(spark):
+    table = odd_table(spark, ODD)
+    labels = spark.createDataFrame([(0, 1, 0), (5, 0, 1)], "doc_id long, quality int, toxic int")
+    scores, _, _ = quality.resample(table, labels)
+    by = {}
+    for r in scores.collect():
+        by.setdefault(r.doc_id, []).append((r.log_weight, r.sampling_key, r.kept))
+    assert len(by[0]) == 2 and len(set(by[0])) == 1 and by[1][0][0] == by[2][0][0] == by[4][0][0] == 0.0 and len(by[None]) == 2
+    assert quality.resample(table.where("false"), labels)[0].count() == 0
+    model = secrets.fit(secrets.labelled_values())
+    found = secrets.scan(table, model).collect()
+    assert len(found) == len(ODD) and {r.doc_id: r.n_assign for r in found}[6] == 1 and all(r.text_ == "text_!" for r in found)
+    assert secrets.scan(table.where("false"), model).count() == 0
+    assert sum(r.n_shingles for r in minhash_dedup.near_duplicates(table).where("doc_id = 5").collect()) == 1
+
+
+def test_urls_of_odd_tables(spark):
+    rows = [(1, None), (1, None), (2, ""), (3, "http://example.com/en/1"), (4, "http://a.org/es/" + "x" * 60_000), (None, "http://b.net/de/9"), (5, "://")]
+    table = odd_table(spark, rows, "page_id long, url string")
+    for model in (url_filter.fit(url_filter.label_by_rules(table), trees=2), url_filter.fit(url_filter.label_by_rules(table.where("page_id = 5"))), url_filter.fit(url_filter.label_by_rules(table.where("page_id = 3")))):
+        got = url_filter.judge(table, model)
+        assert got.columns == [*table.columns, "host", "path", "rule", "verdict", "block_score"]
+        found = got.collect()
+        assert len(found) == len(rows) and all(r[c] == f"{c}!" for r in found for c in CLASH)
+        assert {r.page_id: r.rule for r in found} == {1: None, 2: None, 3: "com/en/", 4: "org/es/", None: "net/de/", 5: None}
+    assert url_filter.judge(table.where("false"), model).count() == 0
+
+
+def test_smallest_hashes(spark):
+    from skeinrank.llm._labelled import smallest_hashes
+
+    table = spark.range(5000)
+    got = {r.id for r in smallest_hashes(table, "id", 200).collect()}
+    want = {r.id for r in table.orderBy(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(1 << 30)), "id").limit(200).collect()}
+    assert got == want and smallest_hashes(table, "id", 9000).count() == 5000 and smallest_hashes(table.where("false"), "id", 3).count() == 0
+
+
+def test_warc_cases(spark, tmp_path):
+    from skeinrank.llm._common import materialize, shared_path
+
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    empty.write.parquet(f"{tmp_path}/pages.parquet")
+    assert warc.op6_warc_salvage(spark, str(tmp_path)).count() == 0
+    # Damage in one archive: what is left is read, the gap is in a table.
+    pages = spark.createDataFrame([(i, f"u{i}", f"page {i} " * 300) for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    written, _ = materialize(warc.write_archives(warc.with_revisits(pages), shared_path(spark, "test-warc"), 1 << 20), "test")
+    where = [r.path for r in written.collect()]
+    assert len(where) == 1
+    path = where[0].removeprefix("file:")
+    data = bytearray(open(path, "rb").read())
+    hit = len(data) // 2
+    data[hit : hit + 40] = bytes(40)
+    open(path, "wb").write(data)
+    records, gaps = warc.split_gaps(warc.read_archives(written))
+    assert records.count() == 5 and gaps.count() == 1 and records.agg(F.sum("length")).first()[0] + gaps.agg(F.sum("length")).first()[0] == len(data)
+    gap = gaps.first()
+    assert gap.offset <= hit < gap.offset + gap.length and gap.reason
+    with pytest.raises(RuntimeError, match="6 records were written, 5 came back"):
+        warc.all_back(written, records)
+
+
+def test_salvage_does_not_believe_a_damaged_length():
+    one, two = (warc.page_record(i, "u", b"x" * 100, None) for i in (1, 2))
+    bad = one.replace(b"Content-Length: ", b"Content-Length: 9999999999", 2)
+    found = list(warc.salvage(warc.Source(lambda at, n: (bad + two)[at : at + n], len(bad + two))))
+    assert [type(x) for x in found] == [warc.Gap, warc.Record] and found[0].length == len(bad) and found[0].reason == "length"
