@@ -16,10 +16,10 @@ import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import input_bytes
-
 WINDOW = 1024
 CLOSING_ID = 0
+#: Bytes of text for each group that is packed apart.
+GROUP_BYTES = 16 << 20
 
 
 class BestFit:
@@ -153,9 +153,10 @@ def pack_pieces(cut: DataFrame, groups: int, window: int = WINDOW) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """All texts of docs, tokenised, cut and packed."""
-    groups = max(16, input_bytes(docs) // (16 << 20))
-    return pack_pieces(pieces(docs, vocabulary, ranks, id_col, text_col, window), int(groups), window)
+    """All texts of docs, tokenised, cut and packed. Groups follow the bytes of the texts, so a run gives the same sequences
+    again however the table is stored, and a small table is one group."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
+    return pack_pieces(pieces(docs, vocabulary, ranks, id_col, text_col, window), max(1, size // GROUP_BYTES), window)
 
 
 def op4_best_fit_packing(spark, sf_dir: str) -> DataFrame:
