@@ -87,9 +87,13 @@ PART_ROWS, HOT_KEYS = 256, 10_000
 def deal(rows: DataFrame, once: DataFrame, keys: list[str], by: str, n: str = "n") -> tuple[DataFrame, DataFrame]:
     """Both tables with a column _part, so that a join on keys and _part is that on keys, and no part of a hot key has much
     more rows than that share. once has each key once, and in n how many rows have it; rows are dealt by the column `by`,
-    once is copied to each part. The list of hot keys has at most HOT_KEYS rows, so it is broadcast."""
-    share = once.agg(F.greatest(F.lit(PART_ROWS), F.ceil(F.sum(n) / HOT_KEYS)).alias("_share"))
-    hot = once.select(*keys, F.col(n).alias("_n")).crossJoin(F.broadcast(share)).where("_n > _share").select(*keys, F.ceil(F.col("_n") / F.col("_share")).cast("int").alias("_parts"))
+    once is copied to each part. The list of hot keys has at most HOT_KEYS rows, so it is broadcast; where no key is hot
+    there is one part."""
+    total, most = once.agg(F.sum(n), F.max(n)).first()
+    share = max(PART_ROWS, -(-(total or 0) // HOT_KEYS))
+    if (most or 0) <= share:
+        return rows.withColumn("_part", F.lit(0)), once.withColumn("_part", F.lit(0))
+    hot = once.where(F.col(n) > share).select(*keys, F.ceil(F.col(n) / share).cast("int").alias("_parts"))
     parts = F.coalesce("_parts", F.lit(1))
     dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("_parts")
     copies = once.join(F.broadcast(hot), keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")

@@ -193,8 +193,9 @@ def _against_two(met: DataFrame, sigs: DataFrame, limit: int) -> DataFrame:
     nearest of the second ones. met: key, cls."""
     order = [F.min(F.struct(F.xxhash64(F.lit(seed), "cls").alias("o"), F.col("cls").alias("cls"))).alias(f"h{seed}") for seed in (1, 2)]
     hubs = met.groupBy("key").agg(*order, F.count("*").alias("n")).select("key", F.col("h1.cls").alias("h1"), F.col("h2.cls").alias("h2"), "n")
+    hubs, _ = materialize(hubs, "minhash-hubs")
     pairs = join_dealt(met, hubs, ["key"], "cls").select("cls", F.posexplode(F.array("h1", "h2")).alias("turn", "hub")).where("cls <> hub").distinct()
-    pairs, path = materialize(pairs, "minhash-hubs")
+    pairs, _ = materialize(pairs, "minhash-hub-pairs")
     hub_sigs = pairs.groupBy("hub").agg(F.count("*").alias("n")).join(sigs.select(F.col("cls").alias("hub"), F.col("sig").alias("hub_sig")), "hub")
     both = join_dealt(pairs.join(sigs.select("cls", "sig"), "cls"), hub_sigs, ["hub"], "cls")
     near = both.select("turn", "hub", "cls", _differences(F.col("sig"), F.col("hub_sig")).alias("d")).where(F.col("d") <= limit)
@@ -210,6 +211,7 @@ def _blocks(met: DataFrame, comps: DataFrame, sigs: DataFrame) -> DataFrame:
     sizes = counts.groupBy("key").agg(F.max(F.struct("rows", "bytes", "component")).alias("big"), F.sum("rows").alias("n"), F.sum("bytes").alias("bytes")).where("n > big.rows")
     parts = lambda rows, size: F.greatest(F.ceil(rows / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("int")
     sizes = sizes.select("key", "n", F.col("big.component").alias("big"), parts(F.col("big.rows"), F.col("big.bytes")).alias("in_big"), parts(F.col("n") - F.col("big.rows"), F.col("bytes") - F.col("big.bytes")).alias("in_rest"))
+    sizes, _ = materialize(sizes, "minhash-sizes")
     rows = join_dealt(now, sizes, ["key"], "cls")
     is_big, h = F.col("component") == F.col("big"), F.xxhash64("cls")
     rows = rows.withColumn("own", F.when(is_big, F.pmod(h, F.col("in_big"))).otherwise(F.col("in_big") + F.pmod(h, F.col("in_rest"))).cast("int"))
