@@ -4,6 +4,7 @@ import json
 import threading
 import urllib.error
 import urllib.request
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -212,3 +213,15 @@ def test_residual_in_parts(monkeypatch):
         logits, kept = residual.forward(w, x, rng)
         got.append([logits, residual.forward(w, x)[0], *[v for _, v in sorted(residual.backward(w, kept, residual.loss_of(logits, y)[1]).items())]])
     assert all(np.allclose(a, b) for a, b in zip(*got, strict=True))
+
+
+def test_epochs_leave_no_files(spark, rings):
+    """The weights that an epoch sends and gathers are not kept on disk: its files are as many after it as before."""
+    folders = [Path(spark.sparkContext._temp_dir), Path(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()[0])]
+    data = files.written(rings.select(residual._vector(["a", "b"]).alias("x"), F.col("y").cast("long").alias("y")), "epochs")
+    w = residual.start(2)
+    count = lambda: sum(p.stat().st_size > 100_000 for f in folders for p in f.rglob("*") if p.is_file())
+    before = count()
+    residual._epoch(data, w, residual.fresh_moments(w), 1e-3, 64, 1, 0.0)
+    residual._validate(data, w, 64)
+    assert count() <= before
