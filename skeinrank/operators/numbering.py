@@ -50,3 +50,42 @@ def smallest(df: DataFrame, key: str, n: int, few: int = 50_000) -> tuple[DataFr
             cut = keys[left - 1] if left else None
             chosen = df.where(below if cut is None else F.col(key) <= cut)
             return (chosen.limit(n) if cut is not None and keys.count(cut) > 1 else chosen), n
+
+
+def cuts(df: DataFrame, key: str, runs: int, few: int = 50_000) -> list[str] | None:
+    """The keys, texts of hex digits, that `runs` contiguous runs of their order begin with but for the first; the last run
+    takes the rest. None if a run would begin amid equal keys. Counts find them, without a sort of all rows."""
+    size, open_ = 0, {"": [(-1, 0)]}  # by prefix: the run, and the place in the prefix of its first key
+    out: dict[int, str] = {}
+    while open_:
+        digits = len(next(iter(open_))) + 3
+        inside = df if digits == 3 else df.where(F.substring(key, 1, digits - 3).isin(list(open_)))
+        counts = sorted(inside.groupBy(F.substring(key, 1, digits).alias("d")).count().collect())
+        if not size:
+            n = sum(c for _, c in counts)
+            size = max(1, n // runs)
+            open_ = {"": [(run, run * size) for run in range(1, runs) if run * size < n]}
+        found: dict[str, list[tuple[int, int]]] = {}
+        many = False
+        for prefix, wanted in open_.items():
+            below = [(d, c) for d, c in counts if d.startswith(prefix)]
+            for run, at in wanted:
+                for d, c in below:
+                    if at < c:
+                        found.setdefault(d, []).append((run, at))
+                        many |= c > few and len(d) == digits
+                        break
+                    at -= c
+        if not many:
+            keys: dict[str, list[str]] = {d: [] for d in found}
+            for (k,) in df.where(F.substring(key, 1, digits).isin(list(found))).select(key).collect() if found else []:
+                keys[k[:digits]].append(k)
+            edge = False
+            for d, wanted in found.items():
+                here = sorted(keys[d])
+                for run, at in wanted:
+                    out[run] = here[at]
+                    edge |= at > 0 and here[at - 1] == here[at]
+            return None if edge else [out[run] for run in sorted(out)]
+        open_ = found
+    return []

@@ -4,8 +4,9 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from skeinrank.operators import linear, pairwise
+from skeinrank.operators import linear, numbering, pairwise
 from skeinrank.plans import queries
 from skeinrank.schemas import FEATURES
 
@@ -33,3 +34,36 @@ def test_queries_take_all_rows(spark, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         queries.neural_eval(spark, DIR)
     assert seen["fit"] + seen["held"] > 0.7 * queries._scaled(spark, DIR).count()
+
+
+def test_grid_search_is_fit_of_folds(spark):
+    """The folds are the runs of the keys' order, and every accuracy is that of a model of its own; a constant column and
+    labels beside 1 and -1 (never right) as well. With equal keys the folds are as even."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(5, 2, (203, 2))
+    rows = [(float(a), float(b), 0.1, (1 if a - b + e > 0 else -1) if i % 50 else 0, f"{i * 7919 % 65521:04x}") for i, ((a, b), e) in enumerate(zip(x, rng.normal(0, 2, 203), strict=True))]
+    table = spark.createDataFrame(rows, "a double, b double, c double, Y int, o string").repartition(3).cache()
+    starts = numbering.cuts(table, "o", 5)
+    keys = sorted(r[4] for r in rows)
+    assert starts == [keys[i] for i in (40, 80, 120, 160)] == numbering.cuts(table, "o", 5, few=1)
+    best, means = linear.grid_search(table, ["a", "b", "c"], "o", [0.01, 1.0], 5, epochs=8)
+    placed = linear.with_folds(table, "o", 5).cache()
+    for penalty, mean in means:
+        want = []
+        for fold in range(5):
+            model = linear.LogisticModel(penalty).fit(placed.where(F.col("fold") != fold), ["a", "b", "c"], epochs=8)
+            want.append(placed.where(F.col("fold") == fold).agg(F.avg(F.when(model.predicted() == F.col("Y"), 100.0).otherwise(0.0))).first()[0])
+        assert mean == pytest.approx(sum(want) / 5)
+    assert best == max(means, key=lambda m: m[1])[0]
+    tied = table.withColumn("o", F.substring("o", 1, 1))
+    assert numbering.cuts(tied, "o", 5) is None and len(linear.grid_search(tied, ["a", "b", "c"], "o", [1.0], 5, epochs=1)[1]) == 1
+    assert numbering.cuts(table.limit(1), "o", 5) == [] == numbering.cuts(table.where("false"), "o", 5)
+
+
+def test_packed_rows_hold_what_varies(spark):
+    """A pass reads a block of doubles for many rows, without the columns that are constant."""
+    table = spark.range(10_000).select(F.col("id").cast("double").alias("a"), F.lit(7.0).alias("b"), F.lit(0.1).alias("c"), F.when(F.col("id") % 2 == 0, 1).otherwise(-1).alias("Y")).coalesce(1)
+    rows = linear.packed(table, ["a", "b", "c"], "Y", F.lit(-1))
+    got = rows.data.select("n", F.length("data").alias("bytes")).collect()
+    assert rows.varying == [0] and sum(r.n for r in got) == 10_000 and len(got) == 3 and all(r.bytes == 16 * r.n for r in got)
+    rows.data.unpersist()
