@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skeinrank.operators import linear, numbering, pairwise
+from skeinrank.operators import linear, numbering, pairwise, together
 from skeinrank.plans import queries
 from skeinrank.schemas import FEATURES
 
@@ -66,4 +66,26 @@ def test_packed_rows_hold_what_varies(spark):
     rows = linear.packed(table, ["a", "b", "c"], "Y", F.lit(-1))
     got = rows.data.select("n", F.length("data").alias("bytes")).collect()
     assert rows.varying == [0] and sum(r.n for r in got) == 10_000 and len(got) == 3 and all(r.bytes == 16 * r.n for r in got)
-    rows.data.unpersist()
+
+
+@pytest.mark.parametrize("at_once", [True, False])
+def test_one_job_or_many(spark, monkeypatch, at_once):
+    """Tasks that hold their rows, in memory or in a file, and meet in each epoch come to what a job for each epoch does."""
+    if not at_once:
+        monkeypatch.setattr(linear.together, "slots", lambda spark: 0)
+    monkeypatch.setattr(linear, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), 1 if a > b else -1, i % 3) for i, (a, b) in enumerate(rng.normal(5, 2, (300, 2)))]
+    table = spark.createDataFrame(rows, "a double, b double, Y int, fold int").repartition(6)
+    began = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    models = linear.fit_together(table, ["a", "b"], [(1.0, None), (0.5, 1)], epochs=20)
+    assert (len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(began) < 12) == at_once
+    want = linear.LogisticModel(0.5).fit(table.where("fold <> 1"), ["a", "b"], epochs=20)
+    assert np.allclose([*models[1].weights, models[1].bias, *models[1].losses], [*want.weights, want.bias, *want.losses])
+
+
+def test_held_blocks(monkeypatch):
+    monkeypatch.setattr(together, "HELD", 10)
+    blocks = [(i, True, 1, bytes([i]) * 8) for i in range(4)]
+    held = together.Held(blocks)
+    assert held.file and len(held.near) == 1 and list(held) == blocks == list(held)
