@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of a task's blocks that stay in memory; what is beyond goes to a file of the task.
-HELD, CONNECT_S = 128 << 20, 120
+HELD, CONNECT_S = 16 << 20, 120
 
 
 def slots(spark: SparkSession) -> int:
